@@ -6,10 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash, simple8b
+from . import decontaminate, mixing, simhash, simple8b, textcnn
 from ._common import table
 
 
+def op1_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(table(spark, sf_dir, "documents"))
+
+
+def op3_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_textcnn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return textcnn.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_simhash_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -25,4 +37,46 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_temperature_mixing": OP1_SQL}
+
+
+#: The exponent by 60 halvings for the entropy, then, if the limit of repeats asks for it, 60 more; then running sums.
+OP1_SQL = r"""
+WITH RECURSIVE sized AS (
+  SELECT doc_id, coalesce(source, '') AS source,
+         len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS n_tokens
+  FROM documents),
+sources AS (SELECT source, sum(n_tokens)::BIGINT AS tokens, count(*) AS docs FROM sized GROUP BY source),
+shares AS (SELECT list(tokens::DOUBLE / (SELECT sum(tokens) FROM sources) ORDER BY tokens) AS p FROM sources WHERE tokens > 0),
+target AS (SELECT p, 0.95 * log2(greatest(2, len(p))) AS h, p[1] AS least FROM shares),
+flat(i, lo, hi) AS (
+  SELECT 0, 0::DOUBLE, 1::DOUBLE
+  UNION ALL
+  SELECT i + 1, CASE WHEN ok THEN mid ELSE lo END, CASE WHEN ok THEN hi ELSE mid END FROM (
+    SELECT i, lo, hi, (lo + hi) / 2 AS mid,
+      log2(list_sum(list_transform(p, lambda x: pow(x, (lo + hi) / 2))))
+      - list_sum(list_transform(p, lambda x: pow(x, (lo + hi) / 2) * ((lo + hi) / 2) * log2(x))) / list_sum(list_transform(p, lambda x: pow(x, (lo + hi) / 2))) >= h AS ok
+    FROM flat, target WHERE i < 60)),
+one AS (SELECT CASE WHEN log2(list_sum(p)) - list_sum(list_transform(p, lambda x: x * log2(x))) / list_sum(p) >= h THEN 1.0::DOUBLE ELSE (SELECT lo FROM flat WHERE i = 60) END AS a FROM target),
+steep(i, lo, hi) AS (
+  SELECT 0, a, 1::DOUBLE FROM one
+  UNION ALL
+  SELECT i + 1, CASE WHEN over THEN mid ELSE lo END, CASE WHEN over THEN hi ELSE mid END FROM (
+    SELECT i, lo, hi, (lo + hi) / 2 AS mid, pow(least, (lo + hi) / 2) / list_sum(list_transform(p, lambda x: pow(x, (lo + hi) / 2))) > 4 * least AS over
+    FROM steep, target WHERE i < 60)),
+alpha AS (SELECT CASE WHEN pow(least, a) / list_sum(list_transform(p, lambda x: pow(x, a))) <= 4 * least THEN a ELSE (SELECT lo FROM steep WHERE i = 60) END AS a FROM one, target),
+weights AS (SELECT a, list_sum(list_transform(p, lambda x: pow(x, a))) AS z, (SELECT sum(tokens) FROM sources)::DOUBLE AS total FROM alpha, target),
+reads AS (
+  SELECT source, tokens, docs, CASE WHEN tokens = 0 THEN 0 ELSE floor(total * pow(tokens / total, a) / z + 1e-6)::BIGINT END AS read FROM sources, weights),
+plans AS (
+  SELECT source, CASE WHEN tokens > 0 THEN (read // tokens)::INT ELSE 0 END AS passes, CASE WHEN tokens > 0 THEN read % tokens ELSE 0 END AS rest,
+         greatest(0, least(16, ceil(log2(docs / 4096.0))))::INT AS bits FROM reads),
+runs AS (
+  SELECT s.*, p.passes, p.bits, p.rest,
+         sum(n_tokens) OVER (PARTITION BY s.source ORDER BY md5('1:' || passes || ':' || coalesce(doc_id::VARCHAR, '')), doc_id) AS upto
+  FROM sized s JOIN plans p ON s.source = p.source),
+times AS (SELECT *, unnest(range(0, passes + CASE WHEN upto <= rest THEN 1 ELSE 0 END)) AS epoch FROM runs)
+SELECT doc_id, source, n_tokens, epoch::INT AS epoch,
+       floor(('0x' || substr(md5('1:' || epoch || ':' || coalesce(doc_id::VARCHAR, '')), 1, 4))::INT / pow(2.0, 16 - bits))::INT AS block
+FROM times
+"""
