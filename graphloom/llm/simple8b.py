@@ -14,6 +14,7 @@ Every block starts on a word of its own, so any block decodes alone, and a block
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,31 +28,31 @@ from ._common import by_id_ranges, cut
 MAGIC, BLOCK = 0x31423853, 1 << 16
 #: (ids in a word, bits of each) by selector, most ids first; fixed values of the published Simple-8b scheme without its runs of zeros.
 SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
-COUNTS = np.array([c for c, _ in SELECTORS], np.int64)
+COUNTS, WIDTHS = (np.array(x, np.int64) for x in zip(*SELECTORS, strict=True))
+#: The selector of least width for each id below 2**16.
+CLASS = np.searchsorted(WIDTHS, np.frexp(np.arange(1 << 16))[1]).astype(np.uint8)
 
 
 def pack(ids: np.ndarray) -> np.ndarray:
-    """The words of one block; every id below 2**60."""
+    """The words of one block; every id below 2**60. Each word takes as many ids as fit, from left to right."""
     n = len(ids)
     if not n:
         return np.zeros(0, np.uint64)
-    at, best = np.arange(n), np.full(n, len(SELECTORS) - 1)
-    for s in range(len(SELECTORS) - 1, -1, -1):
-        count, width = SELECTORS[s]
-        bad = np.flatnonzero(ids >> np.uint64(width))
-        if len(bad) == n:
-            break
-        if not len(bad):
-            best[:] = s
-            continue
-        stop = np.full(n + 1, n + 64)
-        stop[bad] = bad
-        stop = np.minimum.accumulate(stop[::-1])[::-1][:n]
-        best[stop - at >= count] = s
-    jump, starts, p = (at + COUNTS[best]).tolist(), [], 0
+    # the first selector from the end whose width holds an id, and its greatest over ever longer windows
+    need = CLASS[ids] if ids.max() < len(CLASS) else np.searchsorted(WIDTHS, np.frexp(ids.astype(np.float64))[1]).astype(np.uint8)
+    best, window, size, least = np.full(n, len(SELECTORS) - 1, np.uint8), need.copy(), 1, int(need.min())
+    for s in range(len(SELECTORS) - 2, least - 1, -1):
+        count = SELECTORS[s][0]
+        for size in range(size, min(count, n)):
+            np.maximum(window[: n - size], need[size:], out=window[: n - size])
+        size = max(size, min(count, n))
+        best[window <= s] = s
+    best, starts, p, counts = best.tobytes(), [], 0, COUNTS.tolist()
+    add = starts.append
     while p < n:
-        starts.append(p)
-        p = jump[p]
+        add(p)
+        p += counts[best[p]]
+    best = np.frombuffer(best, np.uint8)
     starts = np.array(starts)
     picked, padded = best[starts], np.concatenate([ids, np.zeros(64, np.uint64)])
     words = np.zeros(len(starts), np.uint64)
@@ -113,51 +114,74 @@ def read_image(image: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return doc_ids, nulls.astype(bool), lengths.astype(np.int64), ids
 
 
+#: Byte-level BPE's symbols (published rule): printable Latin-1 stands for itself, the other bytes follow U+0100 in order.
+_PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_SYMBOLS = {b: 0x100 + k for k, b in enumerate(x for x in range(256) if x not in _PLAIN)}
+
+
 class WordEncoder:
     """Token ids of texts by a tokenizer whose pieces never cross white space and that lower-cases: words are encoded once
-    and kept, at most ``most`` of them (a cache: what it forgets is encoded again)."""
+    and kept. Beyond ``most`` words, those seen once are forgotten (and encoded again when they return)."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.clear()
-
-    def clear(self) -> None:
+        self.whole, self.pieces = self.tokenizer.encode, self.tokenizer.model.tokenize
         self.known: dict[bytes, int] = {}
-        self.core: dict[bytes, list[int]] = {}
-        self.flat, self.first, self.used = np.zeros(1 << 16, np.uint32), [0], 0
+        self.tails: dict[bytes, list[int]] = {}
+        self.flat, self.first, self.seen = array("I"), array("q", [0]), np.zeros(0, np.int64)
 
     def _ids(self, word: bytes) -> list[int]:
-        if (got := self.core.get(word)) is None:
-            got = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-            self.core[word] = got
-        return got
+        if word.isalpha() and word.islower():  # ASCII letters: normal form, pieces and byte symbols leave them as they are
+            return [t.id for t in self.pieces(word.decode())]
+        text = word.decode("utf-8", "replace")
+        if text.isalpha() and max(text) < "\u0180" and text == text.lower():  # Latin letters, composed: only the byte symbols change
+            return [t.id for t in self.pieces(word.decode("latin-1").translate(BYTE_SYMBOLS))]
+        return self.whole(text, add_special_tokens=False).ids
 
     def _learn(self, word: bytes) -> int:
         stem = word.rstrip(b".,")
-        # a run of punctuation after a letter is a piece of its own
-        ids = self._ids(stem) + self._ids(word[len(stem) :]) if stem != word and stem[-1:].isalpha() else self._ids(word)
-        if self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        self.first.append(self.used)
-        self.known[word] = len(self.first) - 2
-        return len(self.first) - 2
-
-    def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(stem) != len(word) and stem[-1:].isalpha():
+            # a run of punctuation after a letter is a piece of its own
+            tail = word[len(stem) :]
+            if (end := self.tails.get(tail)) is None:
+                end = self.tails[tail] = self._ids(tail)
+            self.flat.extend(self._ids(stem))
+            self.flat.extend(end)
+        else:
+            self.flat.extend(self._ids(word))
+        k = self.known[word] = len(self.first) - 1
+        self.first.append(len(self.flat))
+        return k
+
+    def _forget(self) -> None:
+        keep = np.flatnonzero(self.seen[: len(self.known)] > 1)
+        first, flat = np.array(self.first), np.array(self.flat)
+        size = np.diff(first)[keep]
+        of = np.concatenate([[0], np.cumsum(size)])
+        flat = flat[np.repeat(first[keep] - of[:-1], size) + np.arange(of[-1])] if len(keep) else flat[:0]
+        new = np.full(len(first), -1)
+        new[keep] = np.arange(len(keep))
+        self.known = {w: j for w, k in self.known.items() if (j := int(new[k])) >= 0}
+        self.flat, self.first, self.seen = array("I", flat.astype(np.uint32).tobytes()), array("q", of.astype(np.int64).tobytes()), np.zeros(0, np.int64)
+        self.tails.clear()
+
+    def encode(self, texts: list[bytes | str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with ``end`` appended; number of ids of each)."""
         if len(self.known) > self.most:
-            self.clear()
+            self._forget()
         get, learn, picks, counts = self.known.get, self._learn, [], []
         for text in texts:
+            raw = text.encode("utf-8", "replace") if isinstance(text, str) else text or b""
             # control strings keep their case: the tokenizer matches them before it lower-cases
-            raw = (text or "").encode("utf-8", "replace")
             ws = (raw if b"<|" in raw else raw.translate(LOWER_TABLE)).split()
             picks += [k if (k := get(w)) is not None else learn(w) for w in ws]
             counts.append(len(ws))
-        picks, first = np.array(picks, np.int64), np.array(self.first)
+        picks, first, flat = np.array(picks, np.int64), np.array(self.first), np.array(self.flat, np.uint32)
+        seen = np.bincount(picks, minlength=len(first))
+        seen[: len(self.seen)] += self.seen
+        self.seen = seen
         size = (first[1:] - first[:-1])[picks]
         of = np.concatenate([[0], np.cumsum(size)])
         words = np.concatenate([[0], np.cumsum(counts)])
@@ -165,7 +189,8 @@ class WordEncoder:
         ids = np.full(int(lengths.sum()), end, np.uint32)
         slot = np.ones(len(ids), bool)
         slot[np.cumsum(lengths) - 1] = False
-        ids[slot] = self.flat[np.repeat(first[:-1][picks] - of[:-1], size) + np.arange(of[-1])]
+        if len(picks):
+            ids[slot] = flat[np.repeat(first[:-1][picks] - of[:-1], size) + np.arange(of[-1])]
         return ids, lengths
 
 
@@ -200,7 +225,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end: int = 1, image_ids: i
         for batch in batches:
             for part in slices(batch):
                 shard = part.column("bucket")[0].as_py()
-                ids, lengths = encoder.encode(part.column("text").to_pylist(), end)
+                ids, lengths = encoder.encode(part.column("text").cast(pa.binary()).to_pylist(), end)
                 doc = part.column("doc_id")
                 held.append((doc.fill_null(0).to_numpy(), doc.is_null().to_numpy(zero_copy_only=False), lengths, ids))
                 if sum(len(h[3]) for h in held) >= image_ids:
