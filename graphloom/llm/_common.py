@@ -68,22 +68,24 @@ def range_bucket(key: Column, bounds: list[int]) -> Column:
     return F.when(key.isNull() | (key < F.lit(bounds[0])), F.lit(0)).otherwise((row - 1) * step + inside).cast("int")
 
 
-def with_next(df: DataFrame, order: list[Column], columns: list[str]) -> DataFrame:
-    """Adds ``next_<c>`` for each column: its value in the following row, where rows are in order of (bucket, order) and the
-    last row is followed by the first. No window goes over more than one bucket; bucket heads are one row per bucket."""
-    w = Window.partitionBy("bucket").orderBy(*order)
-    nxt = F.struct(*[F.col(c) for c in columns])
-    rows = df.withColumn("_n", F.row_number().over(w)).withColumn("_next", F.lead(nxt).over(w))
-    rows = rows.withColumn("_last", F.row_number().over(w) == F.count(F.lit(1)).over(Window.partitionBy("bucket")))
-    heads = rows.filter("_n = 1").select(F.col("bucket").alias("_b"), nxt.alias("_head"))
-    # One row per bucket: the order of buckets is a fixed small relation.
-    follow = heads.select("_b").withColumn("_f", F.lead("_b").over(Window.orderBy("_b")))
-    follow = follow.crossJoin(heads.agg(F.min("_b").alias("_first"))).select("_b", F.coalesce("_f", "_first").alias("_to"))
-    heads = follow.join(heads.withColumnRenamed("_b", "_to"), "_to").select(F.col("_b").alias("bucket"), F.lit(True).alias("_last"), "_head")
-    out = rows.join(heads, ["bucket", "_last"], "left")
-    for c in columns:
-        out = out.withColumn(f"next_{c}", F.when(F.col("_last"), F.col(f"_head.{c}")).otherwise(F.col(f"_next.{c}")))
-    return out.drop("_n", "_next", "_last", "_head")
+def with_followers(df: DataFrame, key: str, columns: list[str], per_part: int, most: int = 20_000) -> DataFrame:
+    """The rows of ``df`` (key, columns) with ``bucket``, ``place`` (from 1, in order of key, nulls first, then columns) and
+    ``guest``: each bucket of consecutive rows also holds, as its last row with ``guest`` true, a copy of the first row of the
+    next one (of the first bucket, in the last). So a row's follower stands in its own bucket, and no window goes over more."""
+    low = -(1 << 63)
+    n = min(most, parts_for(plan_bytes(df), per_part))
+    bounds = range_bounds(df.select(key), key, n)
+    rows = df.withColumn("bucket", range_bucket(F.col(key), bounds))
+    # One row a bucket, at most ``most``: the first key of each and the bucket it is a guest of.
+    heads = rows.groupBy("bucket").agg(F.min(F.coalesce(F.col(key), F.lit(low))).alias("_key"))
+    w = Window.orderBy("bucket")
+    heads = heads.select("bucket", "_key", F.lag("bucket").over(w).alias("_host"), F.max("bucket").over(Window.partitionBy()).alias("_end"))
+    heads = cut(heads.select(F.col("bucket").alias("_own"), "_key", F.coalesce("_host", "_end").alias("_host")))
+    first = rows.join(F.broadcast(heads), (F.col("bucket") == F.col("_own")) & (F.coalesce(F.col(key), F.lit(low)) == F.col("_key")))
+    first = first.groupBy("_own", "_host", key).agg(F.min(F.struct(*columns)).alias("_c"))
+    guests = first.select(key, *[F.col(f"_c.{c}").alias(c) for c in columns], F.col("_host").alias("bucket"), F.lit(True).alias("guest"))
+    both = rows.select(key, *columns, "bucket", F.lit(False).alias("guest")).unionByName(guests)
+    return both.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("guest", F.col(key).asc_nulls_first(), *columns)))
 
 
 def plan_bytes(df: DataFrame) -> int:
