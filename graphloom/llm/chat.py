@@ -47,21 +47,16 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     """(tree, leaf, rank, node, depth): the nodes of the ``branches`` best paths of each tree; ``tree`` is never null here."""
     ids = cut(messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score")))
     known = ids.select("tree", F.col("node").alias("parent"), F.lit(True).alias("there"))
-    state = ids.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("up"), "score", F.lit(1).alias("depth"))
-    jumps, rounds = [], 0
-    while True:
-        state = cut(state)
-        live = state.filter("up is not null")
-        if live.isEmpty() or rounds == MOST_ROUNDS:
-            break
+    first = cut(ids.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("up"), "score", F.lit(1).cast("long").alias("depth")))
+    # nodes whose root is reached leave the rounds; only the others are joined again
+    rooted, live, jumps = first.filter("up is null"), first.filter("up is not null"), []
+    while len(jumps) < MOST_ROUNDS and not live.isEmpty():
         jumps.append(live.select("tree", "node", "up"))
-        above = state.select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("score").alias("_score"), F.col("depth").alias("_depth"))
-        state = state.join(above, ["tree", "up"], "left")
-        state = state.select("tree", "node", F.col("_up").alias("up"), (F.col("score") + F.coalesce("_score", F.lit(0.0))).alias("score"), (F.col("depth").cast("long") + F.coalesce("_depth", F.lit(0))).alias("depth"))
-        rounds += 1
-        if rounds == MOST_ROUNDS:
-            break
-    rooted = state.filter("up is null").select("tree", "node", "score", F.col("depth").cast("long").alias("depth"))
+        above = rooted.unionByName(live).select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("score").alias("_score"), F.col("depth").alias("_depth"))
+        jumped = live.join(above, ["tree", "up"])
+        jumped = cut(jumped.select("tree", "node", F.col("_up").alias("up"), (F.col("score") + F.col("_score")).alias("score"), (F.col("depth") + F.col("_depth")).alias("depth")))
+        rooted, live = rooted.unionByName(jumped.filter("up is null")), jumped.filter("up is not null")
+    rooted = cut(rooted.select("tree", "node", "score", "depth"))
     parents = ids.filter("parent is not null").select("tree", F.col("parent").alias("node")).distinct()
     leaves = rooted.join(parents, ["tree", "node"], "left_anti")
     best = Window.partitionBy("tree").orderBy((F.col("score") / F.col("depth")).desc(), F.col("depth").desc(), "node")
