@@ -68,7 +68,7 @@ def range_bucket(key: Column, bounds: list[int]) -> Column:
     return F.when(key.isNull() | (key < F.lit(bounds[0])), F.lit(0)).otherwise((row - 1) * step + inside).cast("int")
 
 
-def with_followers(df: DataFrame, key: str, columns: list[str], per_part: int, most: int = 20_000) -> DataFrame:
+def with_followers(df: DataFrame, key: str, columns: list[str], per_part: int, most: int = 100_000) -> DataFrame:
     """The rows of ``df`` (key, columns) with ``bucket``, ``place`` (from 1, in order of key, nulls first, then columns) and
     ``guest``: each bucket of consecutive rows also holds, as its last row with ``guest`` true, a copy of the first row of the
     next one (of the first bucket, in the last). So a row's follower stands in its own bucket, and no window goes over more."""

@@ -82,7 +82,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", written(F.struct("exact", "signed")).alias("fingerprint"))
 
 
-def edited(docs: DataFrame, per_part: int = 4 << 20) -> DataFrame:
+def edited(docs: DataFrame, per_part: int = 1 << 20) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row, where the edited
     text ends with the beginning of the next row's text in place of its own last quarter."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
