@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, maintext, mixing, multihash, simhash, simple8b, textcnn
+from . import chat, decontaminate, maintext, mixing, multihash, recompress, simhash, simple8b, textcnn
 from ._common import cut, table
 
 
@@ -34,6 +34,10 @@ def op6_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.conversations(messages))
 
 
+def op7_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompress.digests(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
