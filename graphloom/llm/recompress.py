@@ -8,7 +8,7 @@ them, of the highest round that has any; neighbouring windows that go by the sam
 
 1. Symbols that stand in two documents are found by one aggregation over (symbol, least and greatest doc_id); a bitmap of fixed
    size of them drops most groups unseen (a wrong bit only keeps a group for the exact steps).
-2. Groups with equal symbol and equal words are removed in all documents but the first. If a symbol's groups differ, one group of
+2. Groups with equal symbol (its words included) and equal words are removed in all documents but the first. If a symbol's groups differ, one group of
    each kind is opened, and its windows are compared one by one.
 3. What is removed is laid over the words.
 
@@ -34,7 +34,7 @@ from ._bytes import POWERS, mix, prefix_sums, slices, span_hash, strings, tokens
 from ._common import cut
 
 #: Rounds of pair naming, and those of them that name runs of one symbol first.
-ROUNDS, RUN_ROUNDS = 5, (0, 4)
+ROUNDS, RUN_ROUNDS = 6, (0, 4)
 #: Bits of the filter of shared symbols; 32768 of them are one value of the built-in bitmap aggregate.
 FILTER_BITS = 1 << 26
 
@@ -117,7 +117,7 @@ def least(name: np.ndarray, from_: np.ndarray, to: np.ndarray, ok: np.ndarray) -
 def anchors(words: np.ndarray, first: np.ndarray, window: int, rounds: int = ROUNDS):
     """(text, first window, windows, key, span) of groups of neighbouring windows that hold the same symbol: each window goes
     by the symbol of least name among those of the highest round whose making lies inside it, which its words alone decide. ``key`` is a digest of
-    the symbol, ``span`` one of all words of the group's windows and the symbol's place among them."""
+    the words on which the symbol's making depends, ``span`` one of all words of the group's windows and the symbol's place among them."""
     n = np.diff(first)
     text = np.repeat(np.arange(len(n)), np.maximum(n - window + 1, 0))
     count = np.maximum(n - window + 1, 0)
@@ -144,12 +144,13 @@ def anchors(words: np.ndarray, first: np.ndarray, window: int, rounds: int = ROU
     at = np.flatnonzero(head)
     size = np.diff(np.append(at, len(starts)))
     level, symbol, starts, texts = level[at], symbol[at], starts[at], texts[at]
+    sums = sequence_sums(words)
     key, place = np.zeros(len(at), np.uint64), np.zeros(len(at), np.int64)
     for r in range(rounds + 1):
         own = level == r
-        key[own] = mix(made[r][0][symbol[own]] + np.uint64(r))
-        place[own] = made[r][1][symbol[own]] - starts[own]
-    sums = sequence_sums(words)
+        _, start, low, high = (x[symbol[own]] for x in made[r])
+        key[own] = mix(span_hash(sums, low, high + 1) + ((start - low).astype(np.uint64) << np.uint64(8)) + np.uint64(r))
+        place[own] = start - starts[own]
     span = mix(span_hash(sums, starts, starts + size + window - 1) + (place.astype(np.uint64) << np.uint64(32)) + size.astype(np.uint64))
     return texts, starts - first[texts], size, key, span
 
@@ -176,6 +177,18 @@ def groups(docs: DataFrame, window: int, rounds: int) -> DataFrame:
     return docs.filter("doc_id is not null").mapInArrow(run, "key long, span long, doc_id long, row int, at int, n int")
 
 
+def marked(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` with ``hit``: false only for rows whose (doc_id, row) is not in ``found``. The bitmap behind it has FILTER_BITS
+    bits, so it can be broadcast, and rows that need no join are not shuffled."""
+    bit = F.xxhash64("doc_id", "row").bitwiseAND(FILTER_BITS - 1) + 1
+    bits = found.groupBy(F.bitmap_bucket_number(bit).alias("_b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("_bits"))
+    place = F.bitmap_bit_position(bit)
+    rows = docs.join(F.broadcast(cut(bits)), F.bitmap_bucket_number(bit) == F.col("_b"), "left")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.col("_b").isNotNull() & (F.floor(byte / F.pow(F.lit(2.0), (place % 8).cast("double"))) % 2 == 1)
+    return rows.select(*docs.columns, F.coalesce(hit, F.lit(False)).alias("hit"))
+
+
 def shared_filter(keys: DataFrame) -> np.ndarray:
     """One bit for each value that FILTER_BITS leaves of the keys: a table of fixed size on the driver."""
     bit = F.col("key").bitwiseAND(FILTER_BITS - 1) + 1
@@ -220,7 +233,8 @@ def removed(docs: DataFrame, window: int, rounds: int) -> DataFrame:
                 of = [part.column(c).take(pa.array(text[own])) for c in ("doc_id", "row")]
                 yield pa.RecordBatch.from_arrays([pa.array(key[own]), signed(digest), *of, pa.array(place.astype(np.int32))], ["key", "window", "doc_id", "row", "at"])
 
-    texts = docs.join(opened, ["doc_id", "row"]).select("doc_id", "row", "text", "groups")
+    opened = cut(opened)
+    texts = marked(docs, opened).filter("hit").join(opened, ["doc_id", "row"]).select("doc_id", "row", "text", "groups")
     each = cut(texts.mapInArrow(open_, "key long, window long, doc_id long, row int, at int"))
     first = each.groupBy("key", "window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
     single = each.join(first, ["key", "window"]).filter("doc_id > first").select("doc_id", "row", "at", F.lit(1).alias("n"))
@@ -240,7 +254,7 @@ def digests(docs: DataFrame, window: int = 50, rounds: int = ROUNDS) -> DataFram
 def _kept(docs: DataFrame, window: int, rounds: int, digest: bool) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("row"), text.alias("text"))
-    gone = removed(docs, window, rounds).groupBy("doc_id", "row").agg(F.collect_list(F.struct("at", "n")).alias("gone"))
+    gone = cut(removed(docs, window, rounds).groupBy("doc_id", "row").agg(F.collect_list(F.struct("at", "n")).alias("gone")))
     last = "kept_sha256" if digest else "kept_text"
 
     def lay(batches):
@@ -261,4 +275,7 @@ def _kept(docs: DataFrame, window: int, rounds: int, digest: bool) -> DataFrame:
                 kept.append(hashlib.sha256(line).hexdigest() if digest else line.decode())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(lost, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", last])
 
-    return docs.join(gone, ["doc_id", "row"], "left").select("doc_id", "text", "gone").mapInArrow(lay, f"doc_id long, n_words long, n_removed long, {last} string")
+    rows = marked(docs, gone)
+    hit = rows.filter("hit").join(gone, ["doc_id", "row"], "left").select("doc_id", "text", "gone")
+    plain = rows.filter("not hit").select("doc_id", "text", F.lit(None).cast(gone.schema["gone"].dataType).alias("gone"))
+    return hit.unionByName(plain).mapInArrow(lay, f"doc_id long, n_words long, n_removed long, {last} string")
