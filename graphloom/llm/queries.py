@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, maintext, mixing, multihash, recompress, simhash, simple8b, textcnn
+from . import chat, ctw, decontaminate, maintext, mixing, multihash, recompress, simhash, simple8b, textcnn
 from ._common import cut, table
 
 
@@ -22,6 +22,10 @@ def op3_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(table(spark, sf_dir, "documents"))
+
+
 def op5_textcnn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textcnn.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 

@@ -168,7 +168,7 @@ def groups(docs: DataFrame, window: int, rounds: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=1 << 20):
                 words, first, _ = word_hashes(part.column("text"))
                 text, at, n, key, span = anchors(words, first, window, rounds)
                 own = [part.column(c).take(pa.array(text)) for c in ("doc_id", "row")]
