@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that a kernel works on at a time; arrays of eight bytes for each stay small.
-SLICE = 1 << 21
+SLICE = 1 << 19
 #: Odd multiplier of the polynomial hash, and the two of the finaliser (splitmix64's published constants).
 BASE = 0x9E3779B97F4A7C15
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)

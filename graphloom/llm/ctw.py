@@ -145,7 +145,7 @@ def runs(docs: DataFrame, shards: int) -> DataFrame:
                     })
 
         for batch in batches:
-            for part in slices(batch, limit=1 << 20):
+            for part in slices(batch):
                 block = part.column("block")[0].as_py()
                 apart = part.column("held_out").to_numpy(zero_copy_only=False)
                 for off, text in ((False, part.column("text").filter(pa.array(~apart))), (True, part.column("text").filter(pa.array(apart)))):
@@ -259,7 +259,7 @@ def score(docs: DataFrame, block_bytes: int = 24 << 20) -> DataFrame:
                 for kind, rows in held.items():
                     look[kind] = Lookup(*(np.concatenate(x) for x in zip(*rows, strict=True))) if rows else Lookup(np.zeros(0, np.uint64), np.zeros(0))
                 held.clear()
-            for part in slices(rest, limit=1 << 20):
+            for part in slices(rest):
                 grams, first, words, word = stream(part.column("text"))
                 total = np.add.reduceat(look[GRAM].get(grams).astype(np.float64), first)
                 count = look[WORD].get(words)
