@@ -88,9 +88,13 @@ def with_followers(df: DataFrame, key: str, columns: list[str], per_part: int, m
     return both.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("guest", F.col(key).asc_nulls_first(), *columns)))
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's size of a scan: bytes of its files, without reading them."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def plan_bytes(df: DataFrame, text: str = "text") -> int:
+    """The optimizer's size of a scan: bytes of its files, without reading them. Of a table without such a size, the bytes of
+    its texts are summed."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < 1 << 58:
+        return size
+    return int(df.agg(F.sum(F.octet_length(text))).first()[0] or 0)
 
 
 def by_id_ranges(df: DataFrame, key: str, per_part: int, most: int = 20_000) -> tuple[DataFrame, int]:
