@@ -123,7 +123,7 @@ class WordEncoder:
     """Token ids of texts by a tokenizer whose pieces never cross white space and that lower-cases: words are encoded once
     and kept. Beyond ``most`` words, those seen once are forgotten (and encoded again when they return)."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -178,7 +178,7 @@ class WordEncoder:
             ws = (raw if b"<|" in raw else raw.translate(LOWER_TABLE)).split()
             picks += [k if (k := get(w)) is not None else learn(w) for w in ws]
             counts.append(len(ws))
-        picks, first, flat = np.array(picks, np.int64), np.array(self.first), np.array(self.flat, np.uint32)
+        picks, first, flat = np.array(picks, np.int64), np.frombuffer(self.first, np.int64), np.frombuffer(self.flat, np.uint32)
         seen = np.bincount(picks, minlength=len(first))
         seen[: len(self.seen)] += self.seen
         self.seen = seen
@@ -223,7 +223,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end: int = 1, image_ids: i
             return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_ids": pa.array([len(ids)], pa.int64()), "image": pa.array([blob], pa.binary())})
 
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=1 << 22):
                 shard = part.column("bucket")[0].as_py()
                 ids, lengths = encoder.encode(part.column("text").cast(pa.binary()).to_pylist(), end)
                 doc = part.column("doc_id")
