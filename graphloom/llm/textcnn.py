@@ -18,6 +18,8 @@ an empty result; columns of any name are carried.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -178,6 +180,16 @@ def crc_rest(doc_id: Column, divisor: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(divisor))
 
 
+def release() -> None:
+    """Gives what training held back to the system, where the C library can; the driver's process goes on for long."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, threshold: float = 0.3, seed: int = 7) -> Model:
     """The model of ``labels`` (doc_id, toxic) on the texts of ``docs``; at most ``most_rows`` rows of each label are used."""
     own = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -190,8 +202,10 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, threshold: fl
     chosen = F.broadcast(chosen[0].unionByName(chosen[1]).withColumnRenamed("doc_id", "_id"))
     rows = docs.join(chosen, docs["doc_id"] == chosen["_id"]).select("_id", "toxic", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     got = rows.toArrow().sort_by("_id")
+    del rows, chosen
     texts, label = got.column("text").to_pylist(), got.column("toxic").to_numpy().astype(np.int64)
     langs = np.array([x or "" for x in got.column("lang").to_pylist()], object)
+    del got
     apart = np.arange(len(texts)) % 5 == 4
     if len(texts) < 50 or not (label[~apart].any() and label[apart].any()):
         apart = np.zeros(len(texts), bool)
@@ -203,6 +217,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, threshold: fl
     for lang in sorted(set(langs[pick])):
         at = langs[pick] == lang
         model.thresholds[lang] = best_threshold(score[at], label[pick][at], threshold)
+    del texts, score
+    release()
     return model
 
 
