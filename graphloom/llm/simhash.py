@@ -16,6 +16,8 @@ an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -34,24 +36,33 @@ ROWS_A_PART = 400_000
 
 def fingerprint_batch(texts: list[str | None], shingle: int, seed: int) -> np.ndarray:
     """The 64-bit fingerprints of texts, as signed integers."""
-    xx, hashes, counts = xxhash.xxh64_intdigest, [], np.zeros(len(texts), np.int64)
+    hashes, counts = [], np.zeros(len(texts), np.int64)
     for k, text in enumerate(texts):
-        ws = (text or "").encode("utf-8", "surrogatepass").translate(LOWER_TABLE).split()
-        if not ws:
-            continue
-        if len(ws) <= shingle:
-            hashes.append(xx(b" ".join(ws), seed))
-            counts[k] = 1
-            continue
-        line = b" ".join(ws)
-        ends = np.cumsum(np.fromiter(map(len, ws), np.int64, len(ws)) + 1)
-        starts = np.concatenate([[0], ends[:-1]])
-        n = len(ws) - shingle + 1
-        hashes += [xx(line[a:b], seed) for a, b in zip(starts[:n].tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)]
-        counts[k] = n
-    out = np.zeros(len(texts), np.uint64)
-    if hashes:
-        bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        got = shingle_hashes(text, shingle, seed)
+        hashes += got
+        counts[k] = len(got)
+    return majority(np.array(hashes, np.uint64), counts)
+
+
+def shingle_hashes(text: str | None, shingle: int, seed: int) -> list[int]:
+    """The XXH64 of each word shingle of the lower-cased text, in order; of all words if they are fewer; none without words."""
+    xx = xxhash.xxh64_intdigest
+    ws = (text or "").encode("utf-8", "surrogatepass").translate(LOWER_TABLE).split()
+    if not ws:
+        return []
+    line = b" ".join(ws)
+    if len(ws) <= shingle:
+        return [xx(line, seed)]
+    ends = np.cumsum(np.fromiter(map(len, ws), np.int64, len(ws)) + 1)
+    starts = np.concatenate([[0], ends[:-1]])
+    return [xx(line[a:b], seed) for a, b in zip(starts[: len(ws) - shingle + 1].tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)]
+
+
+def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each run of ``counts`` hashes, the bits set in over half of them, as signed integers; zero for an empty run."""
+    out = np.zeros(len(counts), np.uint64)
+    if len(hashes):
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         full = np.flatnonzero(counts)
         sums = np.add.reduceat(bits, np.concatenate([[0], np.cumsum(counts[full])[:-1]]), axis=0, dtype=np.int64)
         out[full] = np.packbits(sums * 2 > counts[full][:, None], axis=1, bitorder="little").view(np.uint64).ravel()
@@ -92,12 +103,18 @@ def merge(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def index_links(node: np.ndarray, code: np.ndarray, distance: int, chunk: int = 4096) -> tuple[np.ndarray, np.ndarray]:
     """(codes, first codes of their sets) for the codes linked to an earlier one under the same top node."""
+    a, b = linked(node, code, distance, chunk=chunk)
+    return code[a], code[b]
+
+
+def linked(node: np.ndarray, code: np.ndarray, distance: int, accept: Callable | None = None, chunk: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """(places, places of the first of their sets) for the codes linked to another one under the same top node. With ``accept``,
+    a function of two arrays of places, codes within ``distance`` link only where it is true."""
     size = np.unique(node, return_inverse=True, return_counts=True)
-    many = size[2][size[1]] > 1
-    node, code = node[many], code[many]
-    if not len(code):
-        return code, code
-    order = np.lexsort((gray_rank(code), node))
+    order = np.flatnonzero(size[2][size[1]] > 1)
+    if not len(order):
+        return order, order
+    order = order[np.lexsort((gray_rank(code[order]), node[order]))]
     node, code = node[order], code[order]
     levels = [(code, code, np.arange(len(code)), node)]  # AND, OR, first child, top node
     first_leaf = [np.arange(len(code))]
@@ -131,11 +148,19 @@ def index_links(node: np.ndarray, code: np.ndarray, distance: int, chunk: int =
             both, any_ = levels[level - 1][0], levels[level - 1][1]
             apart = np.bitwise_count((both[a] & ~any_[b]) | (both[b] & ~any_[a]))
             a, b = a[apart <= distance], b[apart <= distance]
-            if level == 1:
+            if level == 1 and accept is None:
                 parent = merge(parent, a, b)
                 continue
+            if level == 1:
+                for s in range(0, len(a), chunk):
+                    x, y = a[s : s + chunk], b[s : s + chunk]
+                    open_ = parent[x] != parent[y]
+                    x, y = x[open_], y[open_]
+                    right = accept(order[x], order[y])
+                    parent = merge(parent, x[right], y[right])
+                continue
             within = np.bitwise_count((any_[a] | any_[b]) & ~(both[a] & both[b])) <= distance
-            if within.any():  # every code of both nodes is a link of every other
+            if accept is None and within.any():  # every code of both nodes is a link of every other
                 for x in (a[within], b[within]):
                     stop = np.append(first_leaf[level - 1][1:], len(code))
                     count = (stop - first_leaf[level - 1])[x]
@@ -145,7 +170,7 @@ def index_links(node: np.ndarray, code: np.ndarray, distance: int, chunk: int =
                 a, b = a[~within], b[~within]
             work += [(level - 1, a[s : s + chunk], b[s : s + chunk]) for s in range(0, len(a), chunk)]
     moved = parent != np.arange(len(code))
-    return code[moved], code[parent[moved]]
+    return order[moved], order[parent[moved]]
 
 
 def _blocks(width: int, level: int):
@@ -208,15 +233,3 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, distance:
     """(doc_id, fingerprint, component_id): fingerprint as 16 lower-case hex digits, component_id the smallest doc_id reachable."""
     found = groups(fingerprints(docs, shingle, seed), distance)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, shingle: int = 3, seed: int = 42, distance: int = 2) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each component, one row with its smallest doc_id stays; rows with a null
-    doc_id all stay."""
-    found = near_duplicates(docs, shingle, seed, distance).filter("doc_id is not null")
-    by_id = found.groupBy("doc_id").agg(F.min("component_id").alias("_least"), F.count(F.lit(1)).alias("_rows"))
-    by_id = by_id.filter("_least <> doc_id or _rows > 1").withColumnRenamed("doc_id", "_id")
-    marked = docs.join(by_id, docs["doc_id"].cast("long") == by_id["_id"], "left")
-    kept = marked.filter("_id is null or _least = _id")
-    again = kept.filter("_rows > 1").dropDuplicates(["_id"])
-    return kept.filter("_rows is null or _rows = 1").unionByName(again).drop("_id", "_least", "_rows")
