@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontaminate, mixing, simhash, simple8b, textcnn
+from graphloom.llm import decontaminate, mixing, nearcopies, simple8b, textcnn
 from graphloom.llm._common import cut, table
 
 
@@ -14,8 +14,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies."""
-    return simhash.keep_one(docs)
+    """Keeps the document with the smallest id of each group of near copies: five-word shingles, similarity of 0.8 or more."""
+    return nearcopies.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
