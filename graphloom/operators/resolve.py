@@ -22,12 +22,14 @@ def in_scope(refs: DataFrame, defs: DataFrame, usings: DataFrame) -> DataFrame:
     """(ref, step, outcome, count, first): refs (ref, file, namespace, name) against defs (id, namespace, name) and usings
     (file, target). For each enclosing namespace the type declared there, then one that a using brings; the first level with a
     candidate answers, and several candidates are ambiguous, never guessed."""
-    levels = refs.select("ref", "file", "name", F.posexplode(prefixes(F.col("namespace"))).alias("level", "scope"))
-    own = levels.join(defs, (levels["scope"] == defs["namespace"]) & (levels["name"] == defs["name"])).select("ref", (F.col("level") * 2).alias("step"), "id")
-    used = refs.join(usings, "file").join(defs.select("id", F.col("namespace").alias("target"), "name"), ["target", "name"]).select("ref", F.lit(1).alias("step"), "id")
-    rows = own.unionByName(used).distinct()
-    first = rows.groupBy("ref").agg(F.min("step").alias("step"))
-    out = rows.join(first, ["ref", "step"]).groupBy("ref", "step").agg(F.count(F.lit(1)).alias("count"), F.min("id").alias("first"))
+    # candidates are folded to a count and the first before the join, so a common name costs one row a level, not one a candidate
+    folded = defs.groupBy(F.col("namespace").alias("scope"), "name").agg(F.count_distinct("id").alias("n"), F.min("id").alias("id"))
+    levels = refs.select("ref", "name", F.posexplode(prefixes(F.col("namespace"))).alias("level", "scope"))
+    own = levels.join(folded, ["scope", "name"]).select("ref", (F.col("level") * 2).alias("step"), "n", "id")
+    brought = usings.select("file", F.col("target").alias("scope")).distinct()
+    used = refs.select("ref", "file", "name").join(brought, "file").join(folded, ["scope", "name"]).select("ref", F.lit(1).alias("step"), "n", "id")
+    out = own.unionByName(used).groupBy("ref", "step").agg(F.sum("n").alias("count"), F.min("id").alias("first"))
+    out = out.groupBy("ref").agg(F.min(F.struct("step", "count", "first")).alias("x")).select("ref", "x.*")
     kind = F.when(F.col("count").isNull(), F.lit("not found")).when(F.col("count") == 1, F.lit("resolved")).otherwise(F.lit("ambiguous"))
     return refs.select("ref").join(out, "ref", "left").withColumn("outcome", kind)
 
@@ -101,8 +103,7 @@ def specifiers(imports: DataFrame, aliases: DataFrame, files: DataFrame, base_ur
     head, tail = F.substring_index("pattern", "*", 1), F.when(F.contains(F.col("pattern"), F.lit("*")), F.substring_index("pattern", "*", -1)).otherwise(F.lit(""))
     starred = F.contains(F.col("pattern"), F.lit("*"))
     fits = F.when(starred, F.col("specifier").startswith(head) & F.col("specifier").endswith(tail)).otherwise(F.col("specifier") == F.col("pattern"))
-    # the alias table is one configuration's: a handful of rows
-    hit = bare.join(F.broadcast(aliases.limit(10_000)), fits)
+    hit = bare.join(aliases, fits)
     hit = hit.withColumn("_first", F.min("position").over(Window.partitionBy("from_file", "specifier"))).filter("position = _first")
     rest = F.expr("substring(specifier, length(substring_index(pattern, '*', 1)) + 1, length(specifier) - length(pattern) + 1)")
     alias = hit.select("from_file", "specifier", F.lit("alias").alias("via"), (F.col("target_position") + 1).alias("s"), F.when(starred, F.replace(F.col("target"), F.lit("*"), rest)).otherwise(F.col("target")).alias("base"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import audit, export, graph, sessions
+from ..operators import audit, export, graph, resolve, sessions
 from ..sources.relations import Demo
 from .patterns import first_per_key, ladder, ordered_sum, ranked_table, settled
 
@@ -367,6 +367,83 @@ def def_merge(d: Demo) -> DataFrame:
     return d.defs().groupBy("name", (F.col("line") % 3).alias("type_params")).agg(F.min("id").alias("id"), F.min_by("file", "id").alias("owner_file"), F.count(F.lit(1)).alias("sites"), F.countDistinct("file").alias("files"))
 
 
+# --- resolution ----------------------------------------------------------------------------------------------------
+
+
+@query(""", p AS (SELECT id, file, name, line, split_part(file, '/', 1) AS a, replace(file, '/', '.') AS b FROM defs),
+g AS (SELECT CASE line % 3 WHEN 0 THEN '' WHEN 1 THEN a ELSE b END AS scope, name, count(*) AS n, min(id) AS first FROM p GROUP BY ALL),
+c AS (SELECT id, 0 AS step, n, first FROM p JOIN g ON scope = b AND g.name = p.name UNION ALL SELECT id, 2, n, first FROM p JOIN g ON scope = a AND g.name = p.name UNION ALL SELECT id, 4, n, first FROM p JOIN g ON scope = '' AND g.name = p.name
+ UNION ALL SELECT id, 1, n, first FROM p JOIN g ON scope = 'n' || (CAST(substr(a, 2) AS INT) + 1) % 25 AND g.name = p.name),
+f AS (SELECT * FROM c QUALIFY step = min(step) OVER (PARTITION BY id))
+SELECT p.id AS ref, f.step, f.n AS "count", f.first, CASE WHEN f.n IS NULL THEN 'not found' WHEN f.n = 1 THEN 'resolved' ELSE 'ambiguous' END AS outcome FROM p LEFT JOIN f ON p.id = f.id""")
+def scope_ladder(d: Demo) -> DataFrame:
+    own, folder = F.replace("file", F.lit("/"), F.lit(".")), F.substring_index("file", "/", 1)
+    scope = F.when(F.col("line") % 3 == 0, F.lit("")).when(F.col("line") % 3 == 1, folder).otherwise(own)
+    defs = settled(d.defs())
+    usings = d.files().select("file", F.concat(F.lit("n"), (F.substring(folder, 2, 9).cast("int") + 1) % 25).alias("target"))
+    return resolve.in_scope(defs.select(F.col("id").alias("ref"), "file", own.alias("namespace"), "name"), defs.select("id", scope.alias("namespace"), "name"), usings)
+
+
+@query(""", c AS (SELECT from_file || ':' || from_line AS ref, f.n_regionkey = t.n_regionkey AND t.n_nationkey >= f.n_nationkey AS ok FROM edges JOIN nation f ON split_part(from_file, '/', 1) = 'n' || f.n_nationkey JOIN nation t ON split_part(to_file, '/', 1) = 'n' || t.n_nationkey)
+SELECT ref, count(*) FILTER (ok) AS "count", CASE count(*) FILTER (ok) WHEN 0 THEN 'external' WHEN 1 THEN 'resolved' ELSE 'ambiguous' END AS outcome FROM c GROUP BY ref""")
+def reach_narrowing(d: Demo) -> DataFrame:
+    unit = lambda file: F.substring(F.substring_index(file, "/", 1), 2, 9).cast("int")
+    rows = d.edges().select(F.concat_ws(":", "from_file", "from_line").alias("ref"), F.col("to").alias("id"), unit("from_file").alias("from_unit"), unit("to_file").alias("unit"))
+    reach = unit_reach(d).select(F.col("origin").alias("from_unit"), F.col("node").alias("to_unit"))
+    return resolve.reachable_only(rows, reach)
+
+
+BASES = """, arcs AS (SELECT a.n_nationkey AS id, b.n_nationkey AS base, row_number() OVER (PARTITION BY a.n_nationkey ORDER BY b.n_nationkey % 2 = 0, b.n_nationkey) AS o FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND b.n_nationkey > a.n_nationkey),
+w(id, base, path) AS (SELECT id, base, [o] FROM arcs UNION ALL SELECT w.id, arcs.base, list_append(path, o) FROM w JOIN arcs ON w.base = arcs.id),
+b AS (SELECT id, base, path FROM w QUALIFY row_number() OVER (PARTITION BY id, base ORDER BY path) = 1)"""
+
+
+def _bases(d: Demo) -> DataFrame:
+    a, b = (d.table("nation").select(F.col("n_nationkey").alias(k), "n_regionkey") for k in ("id", "base"))
+    return resolve.bases(a.join(b, "n_regionkey").filter("base > id").select("id", "base", (F.col("base") % 2 == 0).alias("is_interface"), F.col("base").alias("position")))
+
+
+@query(BASES + """ SELECT id, row_number() OVER (PARTITION BY id ORDER BY path)::INT AS place, base FROM b""", recursive=True)
+def base_order(d: Demo) -> DataFrame:
+    return _bases(d).select("id", F.row_number().over(Window.partitionBy("id").orderBy("path")).alias("place"), "base")
+
+
+@query(BASES + """, m AS (SELECT DISTINCT s_nationkey AS id, 'm' || s_suppkey % 7 AS member FROM supplier)
+SELECT m.id, m.member, b.base FROM m JOIN b ON m.id = b.id JOIN m o ON o.id = b.base AND o.member = m.member QUALIFY row_number() OVER (PARTITION BY m.id, m.member ORDER BY path) = 1""", recursive=True)
+def nearest_override(d: Demo) -> DataFrame:
+    members = d.table("supplier").select(F.col("s_nationkey").alias("id"), F.concat(F.lit("m"), F.col("s_suppkey") % 7).alias("member")).distinct()
+    return resolve.overridden(members, _bases(d)).select("id", "member", "base")
+
+
+@query(""", e AS (SELECT from_file AS file, from_line AS line, kind AS member, "to" FROM edges WHERE tier IS NULL), c AS (SELECT from_file AS file, from_line AS line, kind AS member, "to" FROM edges WHERE quantity >= 48)
+SELECT *, 'ladder' AS source FROM e ANTI JOIN c USING (file, line, member) UNION ALL SELECT *, 'semantic' FROM c SEMI JOIN e USING (file, line, member) UNION ALL SELECT *, 'semantic-discovered' FROM c ANTI JOIN e USING (file, line, member)""")
+def confirmed_override(d: Demo) -> DataFrame:
+    shown = lambda rows: rows.select(F.col("from_file").alias("file"), F.col("from_line").alias("line"), F.col("kind").alias("member"), "to")
+    edges = settled(d.edges())
+    return resolve.overruled(shown(edges.filter("tier is null")), shown(edges.filter("quantity >= 48")))
+
+
+@query("""WITH RECURSIVE v(id, value, depth) AS (SELECT p_partkey, p_brand, 1 FROM part WHERE p_partkey * 2 NOT IN (SELECT p_partkey FROM part) UNION ALL SELECT p_partkey, p_brand || value, depth + 1 FROM v JOIN part ON p_partkey * 2 = id AND p_partkey <> id WHERE depth < 8)
+SELECT id AS name, value FROM v""", prelude=False)
+def constant_folding(d: Demo) -> DataFrame:
+    p = d.table("part").select(F.col("p_partkey").alias("name"), "p_brand")
+    head = p.select("name", F.lit(0).alias("position"), F.col("p_brand").alias("literal"), F.lit(None).cast("long").alias("reference"))
+    tail = p.select("name", F.lit(1).alias("position"), F.lit(None).cast("string").alias("literal"), (F.col("name") * 2).alias("reference"))
+    return resolve.constants(head.unionByName(tail.join(p.select(F.col("name").alias("reference")), "reference", "left_semi").select(*head.columns)))
+
+
+@query(""", own AS (SELECT file_id, name, min(id) AS id FROM defs GROUP BY ALL),
+w(file_id, path) AS (SELECT 1::BIGINT, []::BIGINT[] UNION ALL SELECT f.file_id, list_append(path, f.file_id % 2) FROM w JOIN files f ON f.file_id // 2 = w.file_id WHERE len(path) < 8)
+SELECT name, id, len(path)::INT AS hop FROM w JOIN own ON w.file_id = own.file_id QUALIFY row_number() OVER (PARTITION BY name ORDER BY path) = 1""", recursive=True)
+def barrel_exports(d: Demo) -> DataFrame:
+    own = settled(d.defs().groupBy("file", "file_id", "name").agg(F.min("id").alias("id")))
+    root = d.files().filter("file_id = 1").select("file")
+    child = d.files().select(F.col("file").alias("to_file"), (F.col("file_id") % 2).alias("position"), F.floor(F.col("file_id") / 2).alias("file_id"))
+    arcs = child.join(d.files().filter("file_id > 0"), "file_id").select("file", F.lit("*").alias("name"), "to_file", F.lit("*").alias("source"), F.col("position").cast("int").alias("position"))
+    names = own.select("name").distinct().withColumn("file", F.lit(root.first()["file"]))
+    return resolve.exported(names, own.select("file", "name", "id"), settled(arcs)).select("name", "id", "hop")
+
+
 # --- audit ---------------------------------------------------------------------------------------------------------
 
 AUDIT = """, o AS (SELECT DISTINCT from_file AS file, from_line AS line, "to" AS target, kind AS receiver, quantity >= 40 AS external FROM edges WHERE quantity >= 10),
