@@ -410,6 +410,24 @@ def test_main_text(spark):
     assert maintext.extract(df).count() == len(pages) and maintext.extract(df.limit(0)).count() == 0
 
 
+def test_main_text_of_a_large_host_keeps_natural_phrases(spark):
+    rng = random.Random(3)
+    phrases = ["on the other hand it is", "as a matter of fact the", "at the end of the day we"]
+    quote, notice = (" ".join(f"{c}{k}" for k in range(30)) for c in "qn")
+    pages, want = [], {}
+    for i in range(80):
+        ws = [f"w{rng.randrange(500)}" for _ in range(40)]
+        for p in rng.sample(phrases, 2):  # in two thirds of the pages
+            at = rng.randrange(len(ws))
+            ws[at:at] = p.split()
+        text = " ".join(ws)
+        want[i] = [text + " " + quote if i < 4 else text]  # 30 words in four of 80 pages
+        pages.append((i, "http://large/x", f"<body><div>home news</div><p>{want[i][0]}</p><div>page {i} {notice}</div></body>"))
+        want[i].append(f"page {i}")
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    assert {r["page_id"]: r["text"] for r in maintext.extract(df).collect()} == {i: "\n".join(t) for i, t in want.items()}
+
+
 def test_token_blocks_round_trip():
     rng = np.random.default_rng(0)
     for n in (0, 1, 2, 59, 60, 61, 70_000):
