@@ -362,6 +362,17 @@ def test_near_copies_against_all_pairs(spark, node_rows):
         assert got[i] == i or max(similarity(i, j) for j in root if j != i and got[j] == got[i]) >= 0.7
 
 
+def test_near_copies_are_decided_by_exact_similarity(spark):
+    # 90 shingles each: 80 shared ones are a similarity of 0.8, 78 are 0.765
+    rows = []
+    for k in range(120):
+        ws = [f"w{k}.{j}" for j in range(94)]
+        shared = 84 if k < 60 else 82
+        rows += [(2 * k, " ".join(ws)), (2 * k + 1, " ".join(ws[:shared] + [w + "x" for w in ws[shared:]]))]
+    got = {r["doc_id"]: r["component_id"] for r in nearcopies.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {i: i - i % 2 if i < 120 else i for i, _ in rows}
+
+
 def test_near_copies_defined_cases(spark, docs, empty):
     kept = nearcopies.keep_one(docs)
     assert kept.columns == docs.columns
