@@ -12,8 +12,8 @@ link by the exact similarity of their two sets, ``least`` or more. Equal sets ar
 merged at once, so a group of copies costs rows in its size, not pairs. Top nodes of over ``node_rows`` codes are split by ten
 further bands; components of over ``GROUP_ROWS`` sets are looked at by top nodes again.
 
-Defined cases: texts without words are copies of each other; fewer than five words make one shingle; repeated rows of one doc_id
-keep one row; rows with a null doc_id all stay; an empty table gives an empty one; other columns are passed on unread.
+Defined cases: texts without words are copies of each other; fewer than five words make one shingle; of equal rows one
+stays, of rows of one doc_id with unlike texts each is decided by its own text; rows with a null doc_id all stay; an empty table gives an empty one; other columns are passed on unread.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._bytes import mix, slices
 from ._common import cut, parts_for
@@ -186,11 +187,25 @@ def groups(docs: DataFrame, least: float = 0.8, node_rows: int = 50_000) -> Data
     return rows.join(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
 
 
-def keep_one(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each group the row with its smallest doc_id stays."""
-    by_id = groups(docs, least).groupBy("doc_id").agg(F.min("component_id").alias("_least"), F.count(F.lit(1)).alias("_rows"))
-    by_id = by_id.filter("_least <> doc_id or _rows > 1").withColumnRenamed("doc_id", "_id")
+def keep_one(docs: DataFrame, least: float = 0.8, node_rows: int = 50_000) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group the row with its smallest doc_id stays, and of several rows with
+    that doc_id in the group, one of the smallest set_id."""
+    rows = cut(grouped(docs, least, node_rows))
+    first = cut(rows.groupBy("root").agg(F.min(F.struct("doc_id", "set_id")).alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.set_id").alias("_set")))
+    stay = first.groupBy("_id").agg(F.count(F.lit(1)).alias("_kept"))
+    by_id = rows.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_rows")).join(stay, "_id", "left").filter("_kept is null or _rows > 1")
     marked = docs.join(by_id, docs["doc_id"].cast("long") == by_id["_id"], "left")
-    kept = marked.filter("_id is null or _least = _id")
-    again = kept.filter("_rows > 1").dropDuplicates(["_id"])
-    return kept.filter("_rows is null or _rows = 1").unionByName(again).drop("_id", "_least", "_rows")
+    kept = marked.filter("_id is null").select(*docs.columns)
+    # a doc_id of several rows may stand in several groups: its rows are told apart by their sets
+    schema = T.StructType([*docs.schema.fields, T.StructField("_id", T.LongType()), T.StructField("_set", T.LongType())])
+    again = marked.filter("_kept is not null").select(*docs.columns, "_id").mapInArrow(with_set, schema)
+    again = again.join(first, ["_id", "_set"], "left_semi").dropDuplicates(["_id", "_set"])
+    return kept.unionByName(again.select(*docs.columns))
+
+
+def with_set(batches):
+    """Batches of rows with the digest of each text's shingle set as a last column."""
+    for batch in batches:
+        for part in slices(batch):
+            digest = shingle_sets([None if t is None else str(t) for t in part.column("text").to_pylist()])[1]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(digest)], [*part.schema.names, "_set"])

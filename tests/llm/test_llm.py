@@ -380,6 +380,15 @@ def test_near_copies_defined_cases(spark, docs, empty):
     assert nearcopies.keep_one(empty).count() == 0
 
 
+def test_near_copies_of_a_repeated_id_are_decided_by_row(spark):
+    x, y, z = (" ".join(f"{c}{k}" for k in range(50)) for c in "xyz")
+    # 2 stands for two unlike texts, one a copy of 1; 3 for three, one of them twice; 4 is a near copy of 3
+    rows = [(1, y), (2, x), (2, y), (3, z), (3, z), (3, x), (3, "other words than all of these here"), (4, z + " end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, nearcopies.keep_one(df).collect()))
+    assert got == sorted([(1, y), (2, x), (3, z), (3, "other words than all of these here")])
+
+
 @pytest.mark.parametrize("node_rows", [3, 200_000])
 def test_gray_index_finds_every_link(spark, node_rows):
     rng = random.Random(7)
