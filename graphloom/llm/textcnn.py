@@ -4,7 +4,8 @@ A word's vector is the sum of three rows of one table: those of its hash and of
 inflections of a stem share weight). Filters of one, two and three words slide over the whole text; each filter's greatest value,
 rectified, goes into a logistic output. The table's first dimension starts from document log-odds of each row, the rest small and
 random; Adam then trains all weights. Only the places of the maxima carry gradients, so a step costs little beside its forward
-pass. Per-language thresholds are the middle of the interval with the best F1 on rows kept apart from training.
+pass. Per-language thresholds are the middle of the interval with the best F1 on all labelled rows that were not used in fitting,
+those beyond the bound too: scored in Spark, counted by language, score bin and label, and weighted to the labels' whole counts.
 
 The model is fitted on at most ``most_rows`` labelled rows of each label (a documented bound; rows in order of a digest of their
 ids) with the logit shifted back to the labels' whole counts. It never sees lang, source or doc_id. Its size is fixed by
@@ -29,9 +30,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._bytes import LOWER, prefix_sums, slices, span_hash, strings, tokens
+from ._common import cut
 
 ROWS, DIM, FILTERS, WIDTHS = 1 << 16, 8, 8, (1, 2, 3)
 PAD = ROWS
+#: Score bins for a unit of the logit.
+BINS = 20
 
 
 def features(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,17 +167,33 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7, passes: int = 6,
     return m
 
 
-def best_threshold(score: np.ndarray, label: np.ndarray, otherwise: float) -> float:
-    """Middle of the widest gap between neighbouring scores with the best F1; ``otherwise`` with fewer than ten rows of a label."""
-    if min(label.sum(), len(label) - label.sum()) < 10:
+def best_threshold(low: np.ndarray, high: np.ndarray, n: np.ndarray, weight: np.ndarray, otherwise: float) -> float:
+    """Middle of the widest gap between neighbouring bins with the best F1; ``otherwise`` with fewer than ten rows of a label.
+    ``low`` and ``high`` are the least and greatest score of each bin, in descending order, ``n`` its rows of label 0 and 1, ``weight``
+    what a row of each label counts."""
+    if n.sum(0).min() < 10:
         return otherwise
-    order = np.argsort(-score, kind="stable")
-    s, hit = score[order], np.cumsum(label[order])
-    f1 = 2 * hit / (np.arange(1, len(s) + 1) + label.sum())
-    gap = s - np.append(s[1:], 0)
+    zeros, hit = np.cumsum(n * weight, 0).T
+    f1 = 2 * hit / (zeros + hit + hit[-1])
+    below = np.append(high[1:], 0)
+    gap = low - below
     f1[gap <= 0] = -1
     k = max(np.flatnonzero(f1 >= f1.max() - 1e-12), key=lambda i: gap[i])
-    return float((s[k] + (s[k + 1] if k + 1 < len(s) else 0)) / 2)
+    return float((low[k] + below[k]) / 2)
+
+
+def thresholds(scores: DataFrame, labels: DataFrame, counts: tuple[int, int], otherwise: float) -> dict[str, float]:
+    """The threshold of each language from all rows of ``scores`` (doc_id, lang, score) that have a row in ``labels`` (doc_id,
+    toxic). ``counts`` are the rows of label 0 and 1 that the thresholds are for: rows are weighted to them, as fitting takes another
+    share of each label."""
+    sure = F.least(F.greatest("score", F.lit(1e-12)), F.lit(1 - 1e-12))
+    rows = scores.join(labels, "doc_id").withColumn("bin", F.floor(F.log(sure / (1 - sure)) * BINS))
+    tally = rows.groupBy("lang", "bin").agg(F.min("score").alias("low"), F.max("score").alias("high"), *[F.count_if(F.col("toxic") == y).alias(f"n{y}") for y in (0, 1)])
+    got = tally.orderBy("lang", F.col("bin").desc()).toArrow()
+    low, high, n = got.column("low").to_numpy(), got.column("high").to_numpy(), np.stack([got.column(f"n{y}").to_numpy() for y in (0, 1)], 1)
+    weight = np.array(counts) / np.maximum(n.sum(0), 1)
+    langs = np.array(got.column("lang").to_pylist(), object)
+    return {x: best_threshold(low[langs == x], high[langs == x], n[langs == x], weight, otherwise) for x in sorted(set(langs))}
 
 
 def crc_rest(doc_id: Column, divisor: int) -> Column:
@@ -190,21 +210,23 @@ def release() -> None:
         pass
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, threshold: float = 0.3, seed: int = 7) -> Model:
-    """The model of ``labels`` (doc_id, toxic) on the texts of ``docs``; at most ``most_rows`` rows of each label are used."""
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, threshold: float = 0.3, seed: int = 7) -> tuple[Model, DataFrame]:
+    """The model of ``labels`` (doc_id, toxic) on the texts of ``docs``, and (doc_id, lang, score) of all rows. At most ``most_rows``
+    rows of each label are used in fitting; the thresholds come from all others."""
+    texts_of = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
     own = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     own = own.join(docs.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id") == F.col("_id"), "left_semi")
     sums = {r["toxic"]: r["n"] for r in own.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     ones, zeros = sums.get(1, 0), sums.get(0, 0)
     if not ones or not zeros:
-        return Model(*[np.zeros(0)] * 4, 0.0, constant=1.0 if ones else 0.0)
+        model = Model(*[np.zeros(0)] * 4, 0.0, constant=1.0 if ones else 0.0)
+        return model, scored(texts_of, model).drop("text")
     chosen = [own.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows) for y in (0, 1)]
     chosen = F.broadcast(chosen[0].unionByName(chosen[1]).withColumnRenamed("doc_id", "_id"))
-    rows = docs.join(chosen, docs["doc_id"] == chosen["_id"]).select("_id", "toxic", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = docs.join(chosen, docs["doc_id"] == chosen["_id"]).select("_id", "toxic", F.col("text").cast("string").alias("text"))
     got = rows.toArrow().sort_by("_id")
     del rows, chosen
-    texts, label = got.column("text").to_pylist(), got.column("toxic").to_numpy().astype(np.int64)
-    langs = np.array([x or "" for x in got.column("lang").to_pylist()], object)
+    texts, label, ids = got.column("text").to_pylist(), got.column("toxic").to_numpy().astype(np.int64), got.select(["_id"])
     del got
     apart = np.arange(len(texts)) % 5 == 4
     if len(texts) < 50 or not (label[~apart].any() and label[apart].any()):
@@ -212,14 +234,14 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, threshold: fl
     model = train([texts[i] or "" for i in np.flatnonzero(~apart)], label[~apart], seed)
     used = min(ones, most_rows) / min(zeros, most_rows)
     model.shift = float(np.log(ones / zeros) - np.log(used))
-    pick = apart if apart.any() else np.ones(len(texts), bool)
-    score = np.concatenate([model.score(pa.array([texts[i]], pa.large_string())) for i in np.flatnonzero(pick)])
-    for lang in sorted(set(langs[pick])):
-        at = langs[pick] == lang
-        model.thresholds[lang] = best_threshold(score[at], label[pick][at], threshold)
-    del texts, score
+    del texts
     release()
-    return model
+    rows = cut(scored(texts_of, model).drop("text"))
+    if apart.any():
+        fitted = docs.sparkSession.createDataFrame(ids.filter(pa.array(~apart)))
+        own = own.join(F.broadcast(fitted), F.col("doc_id") == F.col("_id"), "left_anti")
+    model.thresholds = thresholds(rows, own, (zeros, ones), threshold)
+    return model, rows
 
 
 def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
@@ -240,8 +262,7 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted, flagged): rows whose crc32 of the id leaves 2 of 4 are held out of training;
     ``flagged`` uses the threshold of the row's language."""
-    model = fit(docs, labels.filter(crc_rest(F.col("doc_id"), 4) != 2), threshold=threshold)
-    rows = scored(docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang")), model)
+    model, rows = fit(docs, labels.filter(crc_rest(F.col("doc_id"), 4) != 2), threshold=threshold)
     return rows.select("doc_id", F.coalesce(crc_rest(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), flag(model, threshold).alias("flagged"))
 
 
@@ -254,5 +275,5 @@ def flag(model: Model, threshold: float, score: str = "score", lang: str = "lang
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that score below their language's threshold."""
-    model = fit(docs, labels.filter(crc_rest(F.col("doc_id"), 4) != 2), threshold=threshold)
+    model, _ = fit(docs, labels.filter(crc_rest(F.col("doc_id"), 4) != 2), threshold=threshold)
     return scored(docs, model, "_toxic_score").filter(~flag(model, threshold, "_toxic_score")).drop("_toxic_score")

@@ -244,6 +244,25 @@ def test_toxicity(spark, docs, empty):
     assert kept.columns == docs.columns
 
 
+def test_thresholds_keep_the_shares_of_labels_beyond_the_cap(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(6000):  # a tenth is toxic; "dubious" stands in 40 % of that, but in 15 % of the rest
+        ws = [rng.choice("lorem ipsum dolor sit amet tempor magna".split()) for _ in range(20)]
+        bad, odd = i % 10 == 0, rng.random()
+        if bad or odd < 0.15:
+            ws.insert(rng.randrange(len(ws)), "scumbag" if bad and odd < 0.6 else "dubious")
+        rows.append((i, " ".join(ws), "en", int(bad)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    model = textcnn.fit(df.drop("toxic"), df.select("doc_id", "toxic"), most_rows=300)
+    model = model[0] if isinstance(model, tuple) else model
+    score = model.score(pa.array([t for _, t, _, _ in rows], pa.large_string()))
+    flagged = score >= model.thresholds["en"]
+    label = np.array([y for _, _, _, y in rows])
+    # at the true shares flagging "dubious" costs more than it finds; at equal shares, as in the capped sample, it would pay
+    assert flagged[label == 0].mean() < 0.01 and flagged[label == 1].mean() > 0.5
+
+
 def test_chat(spark):
     said = ["<|im_end|><|im_start|>assistant ok", "a\n\\<\\|x<|", "", None, "<\\\\|im_start|>"]
     rows = [(c, t, r, said[(c or 0) % 5] if t else said[t + 1], 9) for c in (0, 1, 2, 3, 4, None) for t, r in ((0, "user"), (1, "assistant"), (1, "assistant"), (2, None), (3, "to\\ol\nx"))]
