@@ -87,10 +87,10 @@ def hops(arcs: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
     return grown(seeds, lambda newest: newest.join(arcs, newest["node"] == arcs["src"]).select(F.col("dst").alias("node")), most)
 
 
-def closure(arcs: DataFrame, nodes: DataFrame, most: int = 64) -> DataFrame:
-    """(origin, node): reflexive and transitive reachability."""
+def closure(arcs: DataFrame, nodes: DataFrame, most: int = 10_000) -> DataFrame:
+    """(origin, node): reflexive and transitive reachability, whole or an error after ``most`` rounds."""
     start = nodes.select(F.col("node").alias("origin"), "node")
-    return grown(start, lambda newest: newest.join(arcs, newest["node"] == arcs["src"]).select("origin", F.col("dst").alias("node")), most).drop("hop")
+    return grown(start, lambda newest: newest.join(arcs, newest["node"] == arcs["src"]).select("origin", F.col("dst").alias("node")), most, whole=True).drop("hop")
 
 
 def impact(edges: DataFrame, defs: DataFrame, seeds: DataFrame, most: int = 2, hub_limit: int = HUB_LIMIT) -> DataFrame:

@@ -43,7 +43,7 @@ def reachable_only(candidates: DataFrame, reach: DataFrame) -> DataFrame:
     return out.withColumn("outcome", F.when(F.col("count") == 0, F.lit("external")).when(F.col("count") == 1, F.lit("resolved")).otherwise(F.lit("ambiguous")))
 
 
-def bases(inherits: DataFrame, most: int = 32) -> DataFrame:
+def bases(inherits: DataFrame, most: int = 10_000) -> DataFrame:
     """(id, base, path): all bases of a type with their place in depth-first order, classes before interfaces, each once at its
     first place. ``inherits``: id, base, is_interface, position. Cycles end where a type would come again."""
     order = F.row_number().over(Window.partitionBy("id").orderBy("is_interface", "position", "base"))
@@ -56,6 +56,8 @@ def bases(inherits: DataFrame, most: int = 32) -> DataFrame:
         if level.isEmpty():
             break
         out = out.unionByName(level)
+    else:
+        raise RuntimeError(f"bases are still new after {most} rounds")
     return out.groupBy("id", "base").agg(F.min("path").alias("path"))
 
 
@@ -112,7 +114,7 @@ def specifiers(imports: DataFrame, aliases: DataFrame, files: DataFrame, base_ur
     return asked.join(files.select("file"), "file").groupBy("from_file", "specifier").agg(F.min_by(F.struct(F.col("file").alias("to_file"), "via"), F.struct("s", "p")).alias("x")).select("from_file", "specifier", "x.to_file", "x.via")
 
 
-def module_tree(roots: DataFrame, mods: DataFrame, files: DataFrame, most: int = 64) -> DataFrame:
+def module_tree(roots: DataFrame, mods: DataFrame, files: DataFrame, most: int = 10_000) -> DataFrame:
     """(file, module): the module that first reaches each file, breadth first from the crate roots (file, seq). ``mods``: file, name,
     seq. ``mod x;`` means x.rs or x/mod.rs beside it; with both there it reaches nothing. Files that no root reaches are roots."""
     known = files.select("file").distinct()
@@ -131,6 +133,8 @@ def module_tree(roots: DataFrame, mods: DataFrame, files: DataFrame, most: int =
         if level.isEmpty():
             break
         out = out.unionByName(level)
+    else:
+        raise RuntimeError(f"files are still new after {most} rounds")
     orphans = known.filter(F.col("file").endswith(".rs")).join(out.select("file"), "file", "left_anti").withColumn("module", F.lit("crate"))
     return out.select("file", "module").unionByName(orphans)
 

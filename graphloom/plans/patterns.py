@@ -53,9 +53,9 @@ def first_per_key(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return picked.select(*key, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
-def grown(seeds: DataFrame, step: Callable[[DataFrame], DataFrame], most: int) -> DataFrame:
+def grown(seeds: DataFrame, step: Callable[[DataFrame], DataFrame], most: int, whole: bool = False) -> DataFrame:
     """The rows reachable from ``seeds`` with their first ``hop``: each round applies ``step`` to the newest rows and keeps what
-    was not there before, until nothing is new or ``most`` rounds are done."""
+    was not there before, until nothing is new or ``most`` rounds are done; with ``whole`` the latter is an error."""
     keys = seeds.columns
     seen = settled(seeds.distinct().withColumn("hop", F.lit(0)))
     newest = seen
@@ -65,6 +65,9 @@ def grown(seeds: DataFrame, step: Callable[[DataFrame], DataFrame], most: int) -
         if newest.isEmpty():
             break
         seen = seen.unionByName(newest)
+    else:
+        if whole:
+            raise RuntimeError(f"rows are still new after {most} rounds")
     return seen
 
 

@@ -1,7 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import text
-from graphloom.operators import audit, graph, sessions
+from graphloom.operators import audit, graph, resolve, sessions
 from graphloom.plans.patterns import ladder
 
 
@@ -45,6 +46,21 @@ def test_closure_of_a_cycle(spark):
     assert sorted(map(tuple, graph.closure(arcs, nodes).collect())) == [(1, 1), (1, 2), (2, 1), (2, 2)]
 
 
+def test_closure_stops_with_an_error_not_with_less(spark):
+    arcs = spark.createDataFrame([(k, k + 1) for k in range(4)], "src long, dst long")
+    start = spark.createDataFrame([(0,)], "node long")
+    assert graph.closure(arcs, start).count() == 5
+    with pytest.raises(RuntimeError):
+        graph.closure(arcs, start, most=2)
+    with pytest.raises(RuntimeError):
+        resolve.bases(arcs.selectExpr("src AS id", "dst AS base", "false AS is_interface", "0 AS position"), most=1)
+    files = spark.createDataFrame([("main.rs",), ("a.rs",), ("a/b.rs",)], "file string")
+    mods = spark.createDataFrame([("main.rs", "a", 0), ("a.rs", "b", 0)], "file string, name string, seq int")
+    roots = files.filter("file = 'main.rs'").selectExpr("file", "0 AS seq")
+    with pytest.raises(RuntimeError):
+        resolve.module_tree(roots, mods, files, most=1)
+
+
 def test_stub_count_resets_on_change(spark):
     rows = spark.createDataFrame([("s", i, c, 10) for i, c in enumerate("aab" + "bb")], "session string, ts long, sha string, size long")
     got = sessions.read_state(rows, ["session"], "sha", ["ts"], "size").first()
