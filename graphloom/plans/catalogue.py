@@ -293,6 +293,32 @@ def page_rank_5(d: Demo) -> DataFrame:
     return graph.page_rank(arcs, nodes, seeds, 5).select("node", F.round("score", 9).alias("score"))
 
 
+#: The three walks over all edges; those above take the sparse view of SURVEY 7.3.
+@query(""", arcs AS (SELECT DISTINCT from_file AS src, to_file AS dst FROM edges),
+walk(node, hop) AS (SELECT file, 0 FROM files WHERE file_id = 7 UNION SELECT dst, hop + 1 FROM walk JOIN arcs ON walk.node = arcs.src WHERE hop < 3)
+SELECT node, min(hop)::INT AS hop FROM walk GROUP BY node""", recursive=True)
+def khop_min_all(d: Demo) -> DataFrame:
+    arcs = settled(d.edges().select(F.col("from_file").alias("src"), F.col("to_file").alias("dst")).distinct())
+    return graph.hops(arcs, d.files().filter("file_id = 7").select(F.col("file").alias("node")), 3)
+
+
+@query(IMPACT_SQL.replace("SELECT * FROM edges WHERE quantity >= 45", "SELECT * FROM edges"))
+def impact_walk_all(d: Demo) -> DataFrame:
+    return graph.impact(settled(d.edges()), settled(d.defs()), d.defs().filter("id = 7").select("id"))
+
+
+@query(""", arcs AS MATERIALIZED (SELECT from_file AS src, to_file AS dst, count(*) AS m FROM edges WHERE tier IS NULL GROUP BY ALL),
+deg AS MATERIALIZED (SELECT file AS node, coalesce((SELECT sum(m) FROM arcs WHERE src = file), 0) AS outn, CASE WHEN file_id = 7 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS seed FROM files),
+r0 AS MATERIALIZED (SELECT node, outn, seed, seed AS score FROM deg)""" + "".join(f""",
+f{k} AS MATERIALIZED (SELECT dst, sum(p.score * m / p.outn) AS flow FROM r{k - 1} p JOIN arcs ON p.node = src GROUP BY dst),
+r{k} AS MATERIALIZED (SELECT node, outn, seed, (0.15::DOUBLE + 0.85::DOUBLE * (SELECT coalesce(sum(score), 0) FROM r{k - 1} WHERE outn = 0)) * seed + 0.85::DOUBLE * coalesce(flow, 0) AS score FROM r{k - 1} LEFT JOIN f{k} ON node = dst)""" for k in range(1, 21)) + " SELECT node, round(score, 9) AS score FROM r20")
+def page_rank_20(d: Demo) -> DataFrame:
+    arcs = settled(d.edges().filter("tier is null").select(F.col("from_file").alias("src"), F.col("to_file").alias("dst")))
+    nodes = d.files().select(F.col("file").alias("node"))
+    seeds = d.files().filter("file_id = 7").select(F.col("file").alias("node"))
+    return graph.page_rank(arcs, nodes, seeds, 20).select("node", F.round("score", 9).alias("score"))
+
+
 @query(""", i AS (SELECT DISTINCT file, namespace FROM defs), s AS (SELECT from_file, from_line, d.namespace AS iface, min(seq) AS seq FROM edges e JOIN defs d ON e."to" = d.id WHERE tier IS NULL GROUP BY ALL)
 SELECT i.file, s.from_file, s.from_line, min(s.seq) AS seq, count(*) AS interfaces FROM i JOIN s ON i.namespace = s.iface WHERE i.file <> s.from_file GROUP BY ALL""")
 def iface_hop_dedup(d: Demo) -> DataFrame:
