@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..plans.patterns import first_per_key, grown, ranked_table, settled
 
-HUB_LIMIT, BRAKE_LIMIT = 34, 8
+HUB_LIMIT = 34
 
 
 def admitted(edges: DataFrame, guesses: bool = True, dispatch: bool = True, bus: bool = True) -> DataFrame:
