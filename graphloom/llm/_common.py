@@ -32,7 +32,33 @@ def cut(df: DataFrame, compression: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/graphloom/{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table_ = spark.read.schema(df.schema).parquet(path)
+    table_._cut_path = path
+    return table_
+
+
+def discard(table_: DataFrame) -> None:
+    """Deletes a table that ``cut`` wrote, once all that was made from it is written too."""
+    spark = table_.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table_._cut_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread_join(rows: DataFrame, few: DataFrame, keys: list[str], size: str, by: list[str], most: int = 500, hot: int = 20_000) -> DataFrame:
+    """``rows`` joined with ``few``, one row a key, whose column ``size`` says how many rows have it. A key of over ``most`` rows is
+    dealt over several tasks by a digest of ``by``. The list of such keys is broadcast: at most ``hot`` of them, the largest."""
+    sizes = few.select(*keys, size).filter(F.col(size) > most)
+    n = sizes.count()
+    while n > hot:
+        most *= 4
+        sizes = few.select(*keys, size).filter(F.col(size) > most)
+        n = sizes.count()
+    if not n:
+        return rows.join(few.drop(size), keys)
+    parts = F.ceil(F.col(size) / most).cast("int")
+    rows = rows.join(F.broadcast(sizes.select(*keys, parts.alias("_parts"))), keys, "left").withColumn("_part", F.pmod(F.xxhash64(*by), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    few = few.withColumn("_part", F.explode(F.sequence(F.lit(0), F.when(F.col(size) > most, parts - 1).otherwise(0)))).drop(size)
+    return rows.join(few, [*keys, "_part"]).drop("_part")
 
 
 def words(text: str | Column) -> Column:

@@ -1,19 +1,20 @@
 """Substring dedup by recompression: word windows that stand in a document with a smaller id are removed.
 
-Each round names runs of one symbol and then pairs of neighbouring symbols, by a rule that looks at the two symbols alone: a
-digest of each symbol gives it a side, and a left one followed by a right one becomes a pair. Names are digests of what they name,
-so they agree over all documents without an exchange, and equal substrings get equal symbols inside. For each symbol the words on
-which its making depends are known, so for each window the symbols that its own words decide are too. A window goes by one of
-them, of the highest round that has any; neighbouring windows that go by the same one are a group with a digest of all their words.
-
-1. Symbols that stand in two documents are found by one aggregation over (symbol, least and greatest doc_id); a bitmap of fixed
-   size of them drops most groups unseen (a wrong bit only keeps a group for the exact steps).
-2. Groups with equal symbol (its words included) and equal words are removed in all documents but the first. If a symbol's groups differ, one group of
-   each kind is opened, and its windows are compared one by one.
-3. What is removed is laid over the words.
-
-All steps are aggregations, which combine before an exchange, and joins, which split hot keys; nothing of a group is collected.
-Digests are 64 bits, and two things are equal only if both their symbol's and their words' digests are.
+Texts are sequences of symbols, first their words. Each round names, in Spark, the runs of one symbol and the pairs of neighbouring
+symbols that texts hold: which neighbours pair follows from a digest of the two symbols alone (a left one before a right one), and
+distinct runs and pairs are numbered in one table and joined back, so equal substrings get equal symbols inside and names are
+exact, not digests. For each symbol the words on which its making depends are known (a text's edge lies outside). Only what stands
+in two documents gets a name: a window inside which anything without a name was made stands in one document alone, is dead, and
+symbols in no live window leave the rounds.
+
+After the rounds every live window goes by the symbol of the highest round made inside it; neighbouring windows that go by the same
+one are a group with the text of all their words. Groups under one symbol with equal words are removed in all documents but the
+first; where the words under a symbol differ, the windows of one group of each kind are compared one by one, word for word. Windows
+inside which no symbol was made are compared whole. So every removal rests on equal words.
+
+Documents are dealt into chunks of bounded size that hold their words as codes; a round sends each distinct run or pair of a chunk
+once, so a hot one costs one row a chunk. Whole copies of a text need no rounds: they lose all that a window covers. All other steps
+are aggregations, which combine before an exchange, and joins whose hot keys are dealt over several tasks.
 
 Defined cases: null text has no words; documents shorter than a window lose nothing and give nothing; rows with a null doc_id lose
 nothing and give nothing; rows with equal doc_id give nothing to each other; repeated rows are all returned; a window that
@@ -23,224 +24,345 @@ repeats inside one document alone stays; an empty table gives an empty result; o
 from __future__ import annotations
 
 import hashlib
-from itertools import compress
+from collections import defaultdict
+from itertools import compress, count
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import POWERS, mix, prefix_sums, slices, span_hash, strings, tokens
-from ._common import cut
+from ._bytes import mix
+from ._common import cut, discard, spread_join
 
-#: Rounds of pair naming, and those of them that name runs of one symbol first.
-ROUNDS, RUN_ROUNDS = 6, (0, 4)
-#: Bits of the filter of shared symbols; 32768 of them are one value of the built-in bitmap aggregate.
+#: Rounds of pair naming, and those of them that name runs of one symbol too.
+ROUNDS, RUN_ROUNDS = 5, (0, 3)
+#: Bytes of text in a chunk; a longer document is a chunk of its own.
+CHUNK = 1 << 20
+#: Bits of the filter of first documents; 32768 of them are one value of the built-in bitmap aggregate.
 FILTER_BITS = 1 << 26
+FAR = 1 << 30
+PRODUCTION = ("left", "left_n", "right", "right_n")
+STATE = "chunk long, docs array<long>, first binary, ref binary, step binary, size binary, low binary, high binary, live binary, left array<long>, left_n array<int>, right array<long>, right_n array<int>, least array<long>, most array<long>"
 
 
-def word_hashes(column) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(hash of every word of all texts, first word of each text and one more, (bytes, starts, ends))."""
-    raw, off = strings(column)
-    starts, ends, first = tokens(raw, off)
-    return span_hash(prefix_sums(raw), starts, ends), first, (raw, starts, ends)
+def chunks(docs: DataFrame, window: int) -> DataFrame:
+    """(chunk, docs, rows, first, codes, words, least, most): the words of texts of at least ``window`` words as codes of the
+    chunk's distinct ``words``, each with the least and greatest doc_id that has it."""
 
+    def run(batches):
+        held, size = [], 0
+
+        def out():
+            code = defaultdict(count().__next__)
+            ids = np.array([h[0] for h in held], np.int64)
+            first = np.cumsum([0, *(len(h[2]) for h in held)])
+            codes = np.fromiter((code[w] for h in held for w in h[2]), np.int32, int(first[-1]))
+            own = np.repeat(ids, np.diff(first))
+            least, most = np.full(len(code), 1 << 62), np.full(len(code), -(1 << 62))
+            np.minimum.at(least, codes, own)
+            np.maximum.at(most, codes, own)
+            columns = [
+                pa.array([ids.tolist()], pa.list_(pa.int64())), pa.array([[h[1] for h in held]], pa.list_(pa.int64())), pa.array([first.astype(np.int64).tobytes()]), pa.array([codes.tobytes()]),
+                pa.array([list(code)], pa.list_(pa.binary())), pa.array([least], pa.list_(pa.int64())), pa.array([most], pa.list_(pa.int64())),
+            ]
+            return pa.RecordBatch.from_arrays(columns, ["docs", "rows", "first", "codes", "words", "least", "most"])
 
-def sequence_sums(words: np.ndarray) -> np.ndarray:
-    up, _ = POWERS.get(len(words) + 1)
-    out = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * up[: len(words)], out=out[1:])
+        for batch in batches:
+            for doc_id, row, text in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
+                words = text.as_py().split()
+                if len(words) < window:
+                    continue
+                held.append((doc_id, row, words))
+                size += len(text.as_py())
+                if size >= CHUNK:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
+
+    made = docs.select("doc_id", "row", "text").mapInArrow(run, "docs array<long>, rows array<long>, first binary, codes binary, words array<binary>, least array<long>, most array<long>")
+    return cut(made.withColumn("chunk", F.monotonically_increasing_id()))
+
+
+def named(table: DataFrame, keys: list[str], round_: int) -> tuple[DataFrame, DataFrame]:
+    """(chunk, at, name), the names of the chunks' words, runs or pairs that stand in two documents with their places in its list, and
+    the written table of names behind it."""
+    rows = table.select("chunk", F.posexplode(F.arrays_zip(*keys, "least", "most")).alias("at", "p"))
+    rows = rows.select("chunk", "at", *[F.col(f"p.{k}").alias(k) for k in keys], "p.least", "p.most")
+    both = rows.groupBy(*keys).agg(F.min("least").alias("least"), F.max("most").alias("most")).filter("least < most").select(*keys)
+    # the number is kept with the table; the last three bits are the round
+    names = cut(both.withColumn("name", F.monotonically_increasing_id() * 8 + round_ + 8))
+    got = rows.select("chunk", "at", *keys).join(names, keys).groupBy("chunk").agg(F.collect_list("at").alias("at"), F.collect_list("name").alias("name"))
+    return got, names
+
+
+def lookup(at: list[int] | None, name: list[int] | None, size: int) -> np.ndarray:
+    out = np.zeros(size, np.int64)
+    if at:
+        out[np.array(at)] = name
     return out
 
 
-def levels(words: np.ndarray, first: np.ndarray, rounds: int = ROUNDS):
-    """For each round: (names, first word, low, high) of the symbols of all texts. A name is a digest of what it names, so equal
-    substrings get equal names everywhere; a symbol's making depends on no word outside low..high (a text's edge lies outside)."""
-    n = np.diff(first)
-    text = np.repeat(np.arange(len(n)), n)
-    name, start = words, np.arange(len(words))
-    low, high = start, start
-    left_edge, right_edge = first[:-1] - 1, first[1:]
-    out = [(name, start, low, high)]
-    for r in range(rounds):
-        if r in RUN_ROUNDS and len(name):
+class Symbols:
+    """The symbols of a chunk: name (0: none), first word and the word after the last, and the words low to high on which their
+    making depends (FAR out where a text's edge or a dropped symbol takes part); ``live`` marks the first words of live windows."""
+
+    def __init__(self, name, start, stop, low, high, live):
+        self.name, self.start, self.stop, self.low, self.high, self.live = name, start, stop, low, high, live
+
+    def sift(self, window: int) -> None:
+        """Windows inside which a nameless symbol was made die; symbols in no live window go."""
+        n = len(self.live)
+        dead = (self.name == 0) & (self.high - self.low < window) & (self.low >= 0)
+        edge = np.zeros(n + 1, np.int64)
+        np.add.at(edge, np.maximum(self.high[dead] - window + 1, 0), 1)
+        np.add.at(edge, np.minimum(self.low[dead] + 1, n), -1)
+        self.live &= np.cumsum(edge)[:n] == 0
+        before = np.concatenate([[0], np.cumsum(self.live)])
+        keep = before[self.start + 1] > before[np.maximum(self.stop - window, 0)]
+        for field in ("name", "start", "stop", "low", "high"):
+            setattr(self, field, getattr(self, field)[keep])
+
+    def paired(self, first: np.ndarray, round_: int):
+        """One round: (symbols, production of each or -1, productions as rows of PRODUCTION, document of each production)."""
+        name, start, stop, low, high = self.name, self.start, self.stop, self.low, self.high
+        n = np.ones(len(name), np.int64)
+        text = np.searchsorted(first, start, "right")
+        if round_ in RUN_ROUNDS and len(name):
+            near = (start[1:] == stop[:-1]) & (text[1:] == text[:-1])
             head = np.ones(len(name), bool)
-            head[1:] = (name[1:] != name[:-1]) | (text[1:] != text[:-1])
+            head[1:] = ~near | (name[1:] != name[:-1]) | (name[1:] == 0)
             at = np.flatnonzero(head)
-            size = np.diff(np.append(at, len(name)))
-            before = np.where((at > 0) & (text[at] == text[at - 1]), low[at - 1], left_edge[text[at]])
-            tail = at + size - 1
-            after = np.minimum(tail + 1, len(name) - 1)
-            high = np.where((tail + 1 < len(name)) & (text[after] == text[tail]), high[after], right_edge[text[tail]])
-            name = np.where(size > 1, mix(name[at] ^ (size.astype(np.uint64) << np.uint64(40)) ^ np.uint64(2 * r + 1)), name[at])
-            low, start, text = before, start[at], text[at]
+            n = np.diff(np.append(at, len(name)))
+            tail = at + n - 1
+            has_prev, has_next = np.append(False, near)[at], np.append(near, False)[tail]
+            bare = name[at] == 0
+            # that a run ends where it does depends on the symbols beside it
+            new_low = np.where(bare, low[at], np.where(has_prev, low[at - 1], -FAR))
+            new_high = np.where(bare, high[tail], np.where(has_next, high[np.minimum(tail + 1, len(name) - 1)], FAR))
+            name, start, stop, low, high, text = name[at], start[at], stop[tail], new_low, new_high, text[at]
         m = len(name)
         if not m:
-            out.append((name, start, low, high))
-            continue
-        side = (mix(name ^ np.uint64((r + 1) * 0x632BE59BD9B4E019 & (1 << 64) - 1)) & np.uint64(1)).astype(bool)
-        same = np.zeros(m, bool)
-        same[:-1] = text[1:] == text[:-1]
-        pair = np.zeros(m, bool)
-        pair[:-1] = ~side[:-1] & side[1:] & same[:-1]
-        second = np.zeros(m, bool)
-        second[1:] = pair[:-1]
+            return Symbols(name, start, stop, low, high, self.live), np.zeros(0, np.int64), np.zeros((0, 4), np.int64), np.zeros(0, np.int64)
+        near = np.append((start[1:] == stop[:-1]) & (text[1:] == text[:-1]), False)
+        was = np.append(False, near[:-1])
+        side = mix(name.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (n.astype(np.uint64) << np.uint64(8)) + np.uint64(round_ + 1)) & np.uint64(1)
+        left, right = (side == 0) & (name != 0), (side == 1) & (name != 0)
         nxt, prv = np.minimum(np.arange(m) + 1, m - 1), np.maximum(np.arange(m) - 1, 0)
-        has_prev = np.zeros(m, bool)
-        has_prev[1:] = same[:-1]
-        new_low = np.where(side & ~second, np.where(has_prev, low[prv], left_edge[text]), low)
-        new_high = np.where(pair, high[nxt], np.where(~side, np.where(same, high[nxt], right_edge[text]), high))
-        name = np.where(pair, mix(name * np.uint64(0x9E3779B97F4A7C15) + mix(name[nxt] + np.uint64(2 * r + 2))), name)
+        pair = left & near & right[nxt]
+        second = np.append(False, pair[:-1])
+        new_low = np.where(right & ~second, np.where(was, low[prv], -FAR), low)
+        new_high = np.where(left, np.where(near, high[nxt], FAR), high)
+        made = pair | (n > 1) & (name != 0)
+        rows = np.stack([name, n, np.where(pair, name[nxt], 0), np.where(pair, n[nxt], 0)], 1)
         keep = ~second
-        name, start, low, high, text = name[keep], start[keep], new_low[keep], new_high[keep], text[keep]
-        out.append((name, start, low, high))
-    return out
-
-
-def least(name: np.ndarray, from_: np.ndarray, to: np.ndarray, ok: np.ndarray) -> np.ndarray:
-    """The place of the least name in each range from_..to that is ``ok``, the first of equals, by doubling blocks."""
-    from_, to = from_[ok], to[ok]
+        stop = np.where(pair, stop[nxt], stop)
+        made, rows, text = made[keep], rows[keep], text[keep]
+        production = np.full(len(made), -1)
+        production[made] = np.arange(int(made.sum()))
+        return Symbols(name[keep], start[keep], stop[keep], new_low[keep], new_high[keep], self.live), production, rows[made], text[made] - 1
+
+
+def distinct(rows: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct rows, number of each row among them, least and greatest document of each)."""
+    if not len(rows):
+        return rows, np.zeros(0, np.int64), doc, doc
+    order = np.lexsort(rows.T)
+    own = rows[order]
+    head = np.append(True, (own[1:] != own[:-1]).any(1))
+    of = np.empty(len(rows), np.int64)
+    of[order] = np.cumsum(head) - 1
+    at = np.flatnonzero(head)
+    return own[at], of, np.minimum.reduceat(doc[order], at), np.maximum.reduceat(doc[order], at)
+
+
+def packed(chunk: int, docs: list[int], first: np.ndarray, symbols: Symbols, window: int, round_: int) -> pa.RecordBatch:
+    """The state of a chunk after the symbols got their names: what the next round makes of them, and its distinct productions."""
+    symbols.sift(window)
+    made, production, rows, text = symbols.paired(first, round_)
+    keys, of, least, most = distinct(rows, np.array(docs, np.int64)[text])
+    ref = made.name.copy()
+    ref[production >= 0] = -1 - of[production[production >= 0]]
+    small = lambda x: pa.array([x.astype(np.int32).tobytes()])
+    lists = [pa.array([x], pa.list_(kind)) for x, kind in zip((*keys.T, least, most), (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)]
+    columns = [
+        pa.array([chunk]), pa.array([docs], pa.list_(pa.int64())), pa.array([first.tobytes()]), pa.array([ref.tobytes()]), small(np.diff(made.start, prepend=0)), small(made.stop - made.start),
+        small(np.maximum(made.low - made.start, -FAR)), small(np.minimum(made.high - made.start, FAR)), pa.array([np.packbits(made.live).tobytes()]), *lists,
+    ]
+    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in STATE.split(", ")])
+
+
+def unpacked(row: dict) -> tuple[np.ndarray, Symbols]:
+    """(first words of the documents, symbols) of a state row with the names of its productions."""
+    first = np.frombuffer(row["first"], np.int64)
+    step, size, low, high = (np.frombuffer(row[c], np.int32).astype(np.int64) for c in ("step", "size", "low", "high"))
+    ref, start = np.frombuffer(row["ref"], np.int64).copy(), np.cumsum(step)
+    got = lookup(row["at"], row["name"], len(row["left"]))
+    new = ref < 0
+    ref[new] = got[-1 - ref[new]]
+    low, high = np.where(low <= -FAR, -FAR, start + low), np.where(high >= FAR, FAR, start + high)
+    live = np.unpackbits(np.frombuffer(row["live"], np.uint8), count=int(first[-1])).astype(bool)
+    return first, Symbols(ref, start, start + size, low, high, live)
+
+
+def rows_of(batches, columns: list[str]):
+    """The rows of Arrow batches one by one as dictionaries, so one chunk at a time is in Python's hands."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield {c: batch.column(c)[k].as_py() for c in columns}
+
+
+def open_windows(first: np.ndarray, window: int) -> np.ndarray:
+    live = np.zeros(int(first[-1]), bool)
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        live[a : max(a, b - window + 1)] = True
+    return live
+
+
+def recompressed(table: DataFrame, window: int, rounds: int) -> DataFrame:
+    """The chunks with the state after ``rounds`` rounds and the names (chunk, at, name) of its last productions."""
+
+    def begin(batches):
+        for row in rows_of(batches, ["chunk", "docs", "first", "codes", "at", "name", "size"]):
+            first, names = np.frombuffer(row["first"], np.int64), lookup(row["at"], row["name"], row["size"])
+            name = names[np.frombuffer(row["codes"], np.int32)]
+            at = np.arange(len(name))
+            yield packed(row["chunk"], row["docs"], first, Symbols(name, at, at + 1, at, at, open_windows(first, window)), window, 0)
+
+    def go_on(round_):
+        def run(batches):
+            for row in rows_of(batches, ["chunk", "docs", "first", "ref", "step", "size", "low", "high", "live", "left", "at", "name"]):
+                first, symbols = unpacked(row)
+                yield packed(row["chunk"], row["docs"], first, symbols, window, round_)
+
+        return run
+
+    got, old = named(table, ["words"], 0)
+    state = cut(table.select("chunk", "docs", "first", "codes", F.size("words").alias("size")).join(got, "chunk", "left").mapInArrow(begin, STATE))
+    for r in range(1, rounds):
+        discard(old)
+        got, old = named(state, list(PRODUCTION), r)
+        state, last = cut(state.drop(*PRODUCTION[1:], "least", "most").join(got, "chunk", "left").mapInArrow(go_on(r), STATE)), state
+        discard(last)
+    discard(old)
+    got, old = named(state, list(PRODUCTION), rounds)
+    return state.drop(*PRODUCTION[1:], "least", "most").join(got, "chunk", "left")
+
+
+def least(value: np.ndarray, from_: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """The place of the least value in each range from_..to, the first of equals, by doubling blocks."""
     out, size = np.empty(len(from_), np.int64), np.frexp((to - from_ + 1).astype(np.float64))[1] - 1
-    best = np.arange(len(name))
+    best = np.arange(len(value))
     for j in range(int(size.max()) + 1 if len(size) else 0):
         if j:
             other = best[1 << (j - 1) :]
             m = min(len(best), len(other))
             a, b = best[:m], other[:m]
-            best = np.where(name[b] < name[a], b, a)
+            best = np.where(value[b] < value[a], b, a)
         own = size == j
         a, b = best[from_[own]], best[to[own] - (1 << j) + 1]
-        out[own] = np.where(name[b] < name[a], b, a)
+        out[own] = np.where(value[b] < value[a], b, a)
     return out
 
 
-def anchors(words: np.ndarray, first: np.ndarray, window: int, rounds: int = ROUNDS):
-    """(text, first window, windows, key, span) of groups of neighbouring windows that hold the same symbol: each window goes
-    by the symbol of least name among those of the highest round whose making lies inside it, which its words alone decide. ``key`` is a digest of
-    the words on which the symbol's making depends, ``span`` one of all words of the group's windows and the symbol's place among them."""
-    n = np.diff(first)
-    text = np.repeat(np.arange(len(n)), np.maximum(n - window + 1, 0))
-    count = np.maximum(n - window + 1, 0)
-    open_ = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count) + first[:-1][text]
-    level, symbol, starts, texts = [], [], [], []
-    made = levels(words, first, rounds)
-    for r in range(rounds, -1, -1):
-        name, _, low, high = made[r]
-        if not len(open_):
-            break
-        from_, to = np.searchsorted(low, open_), np.searchsorted(high, open_ + window - 1, "right") - 1
-        ok = from_ <= to
-        k = least(name, from_, to, ok)
-        level.append(np.full(int(ok.sum()), r))
-        symbol.append(k)
-        starts.append(open_[ok])
-        texts.append(text[ok])
-        open_, text = open_[~ok], text[~ok]
-    level, symbol, starts, texts = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (level, symbol, starts, texts))
-    order = np.argsort(starts, kind="stable")
-    level, symbol, starts, texts = level[order], symbol[order], starts[order], texts[order]
-    head = np.ones(len(starts), bool)
-    head[1:] = (level[1:] != level[:-1]) | (symbol[1:] != symbol[:-1]) | (texts[1:] != texts[:-1]) | (starts[1:] != starts[:-1] + 1)
-    at = np.flatnonzero(head)
-    size = np.diff(np.append(at, len(starts)))
-    level, symbol, starts, texts = level[at], symbol[at], starts[at], texts[at]
-    sums = sequence_sums(words)
-    key, place = np.zeros(len(at), np.uint64), np.zeros(len(at), np.int64)
-    for r in range(rounds + 1):
-        own = level == r
-        _, start, low, high = (x[symbol[own]] for x in made[r])
-        key[own] = mix(span_hash(sums, low, high + 1) + ((start - low).astype(np.uint64) << np.uint64(8)) + np.uint64(r))
-        place[own] = start - starts[own]
-    span = mix(span_hash(sums, starts, starts + size + window - 1) + (place.astype(np.uint64) << np.uint64(32)) + size.astype(np.uint64))
-    return texts, starts - first[texts], size, key, span
-
+def anchored(symbols: Symbols, window: int) -> tuple[np.ndarray, ...]:
+    """(key, first window, windows, place of the symbol in the first) of groups of neighbouring live windows that go by the same
+    symbol, and the first words of live windows inside which none was made."""
+    open_ = np.flatnonzero(symbols.live)
+    own = np.flatnonzero((symbols.name != 0) & (symbols.low >= 0) & (symbols.high < FAR))
+    name, start, low, high = symbols.name[own], symbols.start[own], symbols.low[own], symbols.high[own]
+    from_, to = np.searchsorted(low, open_), np.searchsorted(high, open_ + window - 1, "right") - 1
+    ok = from_ <= to
+    # the highest round first, then by a digest of the name
+    value = (np.uint64(7) - (name.view(np.uint64) & np.uint64(7))) << np.uint64(61) | mix(name.view(np.uint64)) >> np.uint64(3)
+    at, symbol = open_[ok], least(value, from_[ok], to[ok])
+    head = np.append(True, (symbol[1:] != symbol[:-1]) | (at[1:] != at[:-1] + 1)) if len(at) else np.zeros(0, bool)
+    head = np.flatnonzero(head)
+    return name[symbol[head]], at[head], np.diff(np.append(head, len(at))), start[symbol[head]] - at[head], open_[~ok]
 
-def window_digests(words: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
-    return mix(span_hash(sequence_sums(words), starts, starts + window) + np.uint64(1))
 
+def groups(table: DataFrame, window: int, rounds: int) -> DataFrame:
+    """(key, place, n, words, doc_id, row, at): groups of ``n`` live windows with the text of all their words, at their first words
+    ``at`` in the document; windows without a symbol are groups of one, those of equal words in a document together."""
 
-def signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+    def run(batches):
+        for row in rows_of(batches, ["docs", "rows", "words", "codes", "first", "ref", "step", "size", "low", "high", "live", "left", "at", "name"]):
+            first, symbols = unpacked(row)
+            symbols.sift(window)
+            if not symbols.live.any():
+                continue
+            key, at, n, place, bare = anchored(symbols, window)
+            words, codes = row["words"], np.frombuffer(row["codes"], np.int32).tolist()
+            text = lambda a, b: b" ".join([words[c] for c in codes[a:b]])  # noqa: B023, E731
+            out = []
+            for k, a, m, p in zip(key.tolist(), at.tolist(), n.tolist(), place.tolist(), strict=True):
+                d = int(np.searchsorted(first, a, "right")) - 1
+                out.append((k, p, m, text(a, a + m + window - 1), d, [a - int(first[d])]))
+            alike: dict[tuple, list[int]] = {}
+            for a in bare.tolist():
+                d = int(np.searchsorted(first, a, "right")) - 1
+                alike.setdefault((d, text(a, a + window)), []).append(a - int(first[d]))
+            out += [(xxhash.xxh64_intdigest(t) >> 1, 0, 1, t, d, places) for (d, t), places in alike.items()]
+            for s in range(0, len(out), 2048):
+                part = list(zip(*out[s : s + 2048], strict=True))
+                columns = [
+                    pa.array(part[0], pa.int64()), pa.array(part[1], pa.int32()), pa.array(part[2], pa.int32()), pa.array(part[3], pa.binary()).cast(pa.string()),
+                    pa.array([row["docs"][d] for d in part[4]], pa.int64()), pa.array([row["rows"][d] for d in part[4]], pa.int64()), pa.array(part[5], pa.list_(pa.int32())),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "place", "n", "words", "doc_id", "row", "at"])
+
+    state = recompressed(table, window, rounds).drop("docs", "first")
+    both = table.select("chunk", "docs", "rows", "first", "codes", "words").join(state, "chunk")
+    return cut(both.mapInArrow(run, "key long, place int, n int, words string, doc_id long, row long, at array<int>"))
 
 
-def groups(docs: DataFrame, window: int, rounds: int) -> DataFrame:
-    """(key, span, doc_id, row, at, n): the groups of windows of every document, from word ``at`` on."""
+def removed(docs: DataFrame, window: int, rounds: int) -> DataFrame:
+    """(doc_id, row, at, n): n windows from each word ``at`` on that also start in a document with a smaller doc_id."""
+    kind = ["key", "place", "n", "words"]
+    own = groups(chunks(docs, window), window, rounds)
+    kinds = own.groupBy(*kind).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("rows_"))
+    kinds = cut(kinds)
+    keys = kinds.groupBy("key").agg(F.min("first").alias("low"), F.max("last").alias("high"), F.count(F.lit(1)).alias("kinds")).filter("low < high")
+    kinds = cut(kinds.join(keys.select("key", (F.col("kinds") > 1).alias("mixed")), "key").filter("mixed or first < last").select(*kind, "first", "mixed", "rows_"))
+    own = cut(spread_join(own, kinds, kind, "rows_", ["doc_id", "row"]).filter("doc_id > first or mixed").select(*kind, "doc_id", "row", "at", (F.col("doc_id") > F.col("first")).alias("gone")))
 
-    def run(batches):
+    def open_(batches):
         for batch in batches:
-            for part in slices(batch):
-                words, first, _ = word_hashes(part.column("text"))
-                text, at, n, key, span = anchors(words, first, window, rounds)
-                own = [part.column(c).take(pa.array(text)) for c in ("doc_id", "row")]
-                yield pa.RecordBatch.from_arrays([signed(key), signed(span), *own, pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], ["key", "span", "doc_id", "row", "at", "n"])
-
-    return docs.filter("doc_id is not null").mapInArrow(run, "key long, span long, doc_id long, row int, at int, n int")
+            for key, n, words, doc_id, row, at in zip(*(batch.column(c).to_pylist() for c in ("key", "n", "words", "doc_id", "row", "at")), strict=True):
+                ws = words.split(" ")
+                m = n * len(at)
+                columns = [
+                    pa.array([key] * m, pa.int64()), pa.array([" ".join(ws[i : i + window]) for _ in at for i in range(n)], pa.string()),
+                    pa.array([doc_id] * m, pa.int64()), pa.array([row] * m, pa.int64()), pa.array([a + i for a in at for i in range(n)], pa.int32()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "words", "doc_id", "row", "at"])
+
+    # of every kind of group under a symbol, those of its first document are compared window by window
+    each = cut(own.filter("not gone").select("key", "n", "words", "doc_id", "row", "at").mapInArrow(open_, "key long, words string, doc_id long, row long, at int"))
+    first = cut(each.groupBy("key", "words").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("rows_")).filter("first < last").drop("last"))
+    single = spread_join(each, first, ["key", "words"], "rows_", ["doc_id", "row"]).filter("doc_id > first").select("doc_id", "row", "at", F.lit(1).alias("n"))
+    return own.filter("gone").select("doc_id", "row", F.explode("at").alias("at"), "n").unionByName(single)
+
+
+def bitmap_of(rows: DataFrame) -> DataFrame:
+    """A bitmap of FILTER_BITS bits over (doc_id, row), in pieces: a table of bounded size."""
+    bit = F.xxhash64("doc_id", "row").bitwiseAND(FILTER_BITS - 1) + 1
+    return cut(rows.groupBy(F.bitmap_bucket_number(bit).alias("_b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("_bits")))
 
 
 def marked(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` with ``hit``: false only for rows whose (doc_id, row) is not in ``found``. The bitmap behind it has FILTER_BITS
     bits, so it can be broadcast, and rows that need no join are not shuffled."""
     bit = F.xxhash64("doc_id", "row").bitwiseAND(FILTER_BITS - 1) + 1
-    bits = found.groupBy(F.bitmap_bucket_number(bit).alias("_b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("_bits"))
     place = F.bitmap_bit_position(bit)
-    rows = docs.join(F.broadcast(cut(bits)), F.bitmap_bucket_number(bit) == F.col("_b"), "left")
+    rows = docs.join(F.broadcast(bitmap_of(found)), F.bitmap_bucket_number(bit) == F.col("_b"), "left")
     byte = F.conv(F.hex(F.substring("_bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     hit = F.col("_b").isNotNull() & (F.floor(byte / F.pow(F.lit(2.0), (place % 8).cast("double"))) % 2 == 1)
     return rows.select(*docs.columns, F.coalesce(hit, F.lit(False)).alias("hit"))
 
 
-def shared_filter(keys: DataFrame) -> np.ndarray:
-    """One bit for each value that FILTER_BITS leaves of the keys: a table of fixed size on the driver."""
-    bit = F.col("key").bitwiseAND(FILTER_BITS - 1) + 1
-    got = keys.groupBy(F.bitmap_bucket_number(bit).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in got:
-        at = (r["b"] - 1) * 4096
-        out[at : at + 4096] = np.frombuffer(r["bits"], np.uint8)
-    return out
-
-
-def removed(docs: DataFrame, window: int, rounds: int) -> DataFrame:
-    """(doc_id, row, at, n): n windows from word ``at`` on that also start in a document with a smaller doc_id."""
-    spark = docs.sparkSession
-    own = cut(groups(docs, window, rounds))
-    keys = own.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("key")
-    bits = spark.sparkContext.broadcast(shared_filter(keys))
-
-    def sift(batches):
-        for batch in batches:
-            at = batch.column("key").to_numpy() & (FILTER_BITS - 1)
-            yield batch.filter(pa.array((bits.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
-
-    own = cut(own.mapInArrow(sift, own.schema))
-    kinds = own.groupBy("key", "span").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    keys = kinds.groupBy("key").agg(F.min("first").alias("low"), F.max("last").alias("high"), F.count(F.lit(1)).alias("spans")).filter("low < high")
-    kinds = kinds.join(keys.select("key", (F.col("spans") > 1).alias("mixed")), "key").filter("mixed or first < last").select("key", "span", "first", "mixed")
-    own = cut(own.join(kinds, ["key", "span"]).filter("doc_id > first or mixed").select("key", "doc_id", "row", "at", "n", (F.col("doc_id") > F.col("first")).alias("gone")))
-    whole = own.filter("gone").select("doc_id", "row", "at", "n")
-    opened = own.filter("not gone").groupBy("doc_id", "row").agg(F.collect_list(F.struct("key", "at", "n")).alias("groups"))
-
-    def open_(batches):
-        for batch in batches:
-            for part in slices(batch):
-                words, first, _ = word_hashes(part.column("text"))
-                found = part.column("groups")
-                text = np.repeat(np.arange(part.num_rows), np.diff(found.offsets.to_numpy()))
-                key, at, n = (found.flatten().field(c).to_numpy().astype(np.int64) for c in ("key", "at", "n"))
-                own = np.repeat(np.arange(len(n)), n)
-                place = at[own] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                digest = window_digests(words, first[text[own]] + place, window)
-                of = [part.column(c).take(pa.array(text[own])) for c in ("doc_id", "row")]
-                yield pa.RecordBatch.from_arrays([pa.array(key[own]), signed(digest), *of, pa.array(place.astype(np.int32))], ["key", "window", "doc_id", "row", "at"])
-
-    opened = cut(opened)
-    texts = marked(docs, opened).filter("hit").join(opened, ["doc_id", "row"]).select("doc_id", "row", "text", "groups")
-    each = cut(texts.mapInArrow(open_, "key long, window long, doc_id long, row int, at int"))
-    first = each.groupBy("key", "window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
-    single = each.join(first, ["key", "window"]).filter("doc_id > first").select("doc_id", "row", "at", F.lit(1).alias("n"))
-    return whole.unionByName(single)
-
-
 def dedup(docs: DataFrame, window: int = 50, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text) of every row: the words that no removed window covers, joined by one space."""
     return _kept(docs, window, rounds, False)
@@ -251,10 +373,22 @@ def digests(docs: DataFrame, window: int = 50, rounds: int = ROUNDS) -> DataFram
     return _kept(docs, window, rounds, True)
 
 
+def copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row) of the first documents of all texts, and of the rows whose whole text stands in a document with a smaller id."""
+    texts = cut(docs.filter("doc_id is not null").select("doc_id", "row", F.unhex(F.sha2("text", 256)).alias("sha")))
+    firsts = cut(texts.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows_")))
+    rows = cut(spread_join(texts, firsts, ["sha"], "rows_", ["doc_id", "row"]).select("doc_id", "row", (F.col("doc_id") > F.col("first")).alias("copy")))
+    return rows.filter("not copy").drop("copy"), rows.filter("copy").drop("copy")
+
+
 def _kept(docs: DataFrame, window: int, rounds: int, digest: bool) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("row"), text.alias("text"))
-    gone = cut(removed(docs, window, rounds).groupBy("doc_id", "row").agg(F.collect_list(F.struct("at", "n")).alias("gone")))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
+    firsts, again = copies(docs)
+    # a copy that the bitmap lets through is looked at like any other text
+    own = marked(docs.filter("doc_id is not null"), firsts).filter("hit").drop("hit")
+    gone = removed(own, window, rounds).unionByName(again.select("doc_id", "row", F.lit(0).alias("at"), F.lit(-1).alias("n")).distinct())
+    gone = cut(gone.groupBy("doc_id", "row").agg(F.collect_list(F.struct("at", "n")).alias("gone")))
     last = "kept_sha256" if digest else "kept_text"
 
     def lay(batches):
@@ -263,9 +397,10 @@ def _kept(docs: DataFrame, window: int, rounds: int, digest: bool) -> DataFrame:
             for text, spans in zip(batch.column("text").cast(pa.binary()), batch.column("gone"), strict=True):
                 words = text.as_py().split()
                 out = words
-                if spans.is_valid:
+                if spans.is_valid and len(words) >= window:
                     edge = np.zeros(len(words) + 1, np.int64)
                     at, n = (spans.values.field(c).to_numpy().astype(np.int64) for c in ("at", "n"))
+                    n = np.where(n < 0, len(words) - window + 1, n)  # the whole text
                     np.add.at(edge, at, 1)
                     np.add.at(edge, at + n + window - 1, -1)
                     out = list(compress(words, (np.cumsum(edge)[:-1] == 0).tolist()))
