@@ -91,6 +91,19 @@ def tokens(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, ends, np.searchsorted(starts, off)
 
 
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit digests of words (spans of one byte or more): the sum of one mixed value for each byte and its place in the word, so no
+    algebra of a polynomial makes long words collide, as it does with ``span_hash``, which suits buckets only."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    size = ends - starts
+    head = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(head, size)
+    byte = raw[np.repeat(starts, size) + place].astype(np.uint64)
+    value = mix((place.astype(np.uint64) << np.uint64(8) | byte) + np.uint64(BASE))
+    return mix(np.add.reduceat(value, head) + size.astype(np.uint64))
+
+
 def prefix_sums(raw: np.ndarray) -> np.ndarray:
     up, _ = POWERS.get(len(raw) + 1)
     out = np.zeros(len(raw) + 1, np.uint64)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _ctw
-from ._bytes import IS_SPACE, LOWER, mix, prefix_sums, slices, span_hash, strings, tokens
+from ._bytes import IS_SPACE, LOWER, mix, slices, strings, tokens, word_hashes
 from ._common import cut, parts_for, plan_bytes
 
 GRAM, WORD = 0, 1
@@ -79,7 +79,7 @@ def stream(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     raw, off = strings(column)
     raw = LOWER[raw]
     starts, ends, first = tokens(raw, off)
-    words = span_hash(prefix_sums(raw), starts, ends)
+    words = word_hashes(raw, starts, ends)
     n, texts, depth = np.diff(first), len(off) - 1, _ctw.DEPTH
     size = ends - starts
     text = np.repeat(np.arange(texts), n)
