@@ -67,6 +67,17 @@ def words(text: str | Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores after it as keep it apart from ``columns`` (whatever the case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def parts_for(total_bytes: int, per_part: int, least: int = 1) -> int:
     return max(least, math.ceil(total_bytes / per_part))
 

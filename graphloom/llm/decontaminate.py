@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import slices
-from ._common import cut
+from ._common import cut, unused
 
 FIELDS = "doc_id long, item_id long, distance int, start long, stop long"
 
@@ -131,10 +131,11 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = 0.1, group_chars: i
 def clean(docs: DataFrame, items: DataFrame, rate: float = 0.1) -> DataFrame:
     """The rows of ``docs`` without those whose doc_id holds an item; a row with a null doc_id goes by its text."""
     found = cut(matches(docs, items, rate).select("doc_id").distinct())
-    kept = docs.join(found.withColumnRenamed("doc_id", "_held"), F.col("doc_id").cast("long") == F.col("_held"), "left_anti")
+    held, sha = unused(docs.columns, "_held", "_sha")
+    kept = docs.join(found.withColumnRenamed("doc_id", held), F.col("doc_id").cast("long") == F.col(held), "left_anti")
     if found.filter("doc_id is null").isEmpty():
         return kept
-    unnamed = docs.filter("doc_id is null").withColumn("_sha", F.sha2("text", 256))
-    held = matches(unnamed.select(F.xxhash64("_sha").alias("doc_id"), "text"), items, rate).select("doc_id").distinct()
-    unnamed = unnamed.join(held.withColumnRenamed("doc_id", "_held"), F.xxhash64("_sha") == F.col("_held"), "left_anti").drop("_sha")
+    unnamed = docs.filter("doc_id is null").withColumn(sha, F.sha2("text", 256))
+    again = matches(unnamed.select(F.xxhash64(sha).alias("doc_id"), "text"), items, rate).select("doc_id").distinct()
+    unnamed = unnamed.join(again.withColumnRenamed("doc_id", held), F.xxhash64(sha) == F.col(held), "left_anti").drop(sha)
     return kept.filter("doc_id is not null").unionByName(unnamed)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._bytes import mix, slices
-from ._common import cut, parts_for
+from ._common import cut, parts_for, unused
 from .components import components
 from .simhash import linked, majority, shingle_hashes
 
@@ -190,22 +190,27 @@ def groups(docs: DataFrame, least: float = 0.8, node_rows: int = 50_000) -> Data
 def keep_one(docs: DataFrame, least: float = 0.8, node_rows: int = 50_000) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group the row with its smallest doc_id stays, and of several rows with
     that doc_id in the group, one of the smallest set_id."""
+    id_, set_, kept_, rows_ = unused(docs.columns, "_id", "_set", "_kept", "_rows")
     rows = cut(grouped(docs, least, node_rows))
-    first = cut(rows.groupBy("root").agg(F.min(F.struct("doc_id", "set_id")).alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.set_id").alias("_set")))
-    stay = first.groupBy("_id").agg(F.count(F.lit(1)).alias("_kept"))
-    by_id = rows.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_rows")).join(stay, "_id", "left").filter("_kept is null or _rows > 1")
-    marked = docs.join(by_id, docs["doc_id"].cast("long") == by_id["_id"], "left")
-    kept = marked.filter("_id is null").select(*docs.columns)
+    first = cut(rows.groupBy("root").agg(F.min(F.struct("doc_id", "set_id")).alias("x")).select(F.col("x.doc_id").alias(id_), F.col("x.set_id").alias(set_)))
+    stay = first.groupBy(id_).agg(F.count(F.lit(1)).alias(kept_))
+    by_id = rows.groupBy(F.col("doc_id").alias(id_)).agg(F.count(F.lit(1)).alias(rows_)).join(stay, id_, "left").filter(F.col(kept_).isNull() | (F.col(rows_) > 1))
+    marked = docs.join(by_id, F.col("doc_id").cast("long") == F.col(id_), "left")
+    kept = marked.filter(F.col(id_).isNull()).select(*docs.columns)
     # a doc_id of several rows may stand in several groups: its rows are told apart by their sets
-    schema = T.StructType([*docs.schema.fields, T.StructField("_id", T.LongType()), T.StructField("_set", T.LongType())])
-    again = marked.filter("_kept is not null").select(*docs.columns, "_id").mapInArrow(with_set, schema)
-    again = again.join(first, ["_id", "_set"], "left_semi").dropDuplicates(["_id", "_set"])
+    schema = T.StructType([*docs.schema.fields, T.StructField(id_, T.LongType()), T.StructField(set_, T.LongType())])
+    again = marked.filter(F.col(kept_).isNotNull()).select(*docs.columns, id_).mapInArrow(with_set(set_), schema)
+    again = again.join(first, [id_, set_], "left_semi").dropDuplicates([id_, set_])
     return kept.unionByName(again.select(*docs.columns))
 
 
-def with_set(batches):
-    """Batches of rows with the digest of each text's shingle set as a last column."""
-    for batch in batches:
-        for part in slices(batch):
-            digest = shingle_sets([None if t is None else str(t) for t in part.column("text").to_pylist()])[1]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(digest)], [*part.schema.names, "_set"])
+def with_set(name: str):
+    """A step over batches that adds the digest of each text's shingle set as a last column ``name``."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                digest = shingle_sets([None if t is None else str(t) for t in part.column("text").to_pylist()])[1]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(digest)], [*part.schema.names, name])
+
+    return run

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._bytes import LOWER, prefix_sums, slices, span_hash, strings, tokens
-from ._common import cut
+from ._common import cut, unused
 
 ROWS, DIM, FILTERS, WIDTHS = 1 << 16, 8, 8, (1, 2, 3)
 PAD = ROWS
@@ -223,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, threshold: fl
         return model, scored(texts_of, model).drop("text")
     chosen = [own.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows) for y in (0, 1)]
     chosen = F.broadcast(chosen[0].unionByName(chosen[1]).withColumnRenamed("doc_id", "_id"))
-    rows = docs.join(chosen, docs["doc_id"] == chosen["_id"]).select("_id", "toxic", F.col("text").cast("string").alias("text"))
+    rows = texts_of.join(chosen, F.col("doc_id") == F.col("_id")).select("_id", "toxic", "text")
     got = rows.toArrow().sort_by("_id")
     del rows, chosen
     texts, label, ids = got.column("text").to_pylist(), got.column("toxic").to_numpy().astype(np.int64), got.select(["_id"])
@@ -276,4 +276,5 @@ def flag(model: Model, threshold: float, score: str = "score", lang: str = "lang
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that score below their language's threshold."""
     model, _ = fit(docs, labels.filter(crc_rest(F.col("doc_id"), 4) != 2), threshold=threshold)
-    return scored(docs, model, "_toxic_score").filter(~flag(model, threshold, "_toxic_score")).drop("_toxic_score")
+    (score,) = unused(docs.columns, "_toxic_score")
+    return scored(docs, model, score).filter(~flag(model, threshold, score)).drop(score)

@@ -544,3 +544,38 @@ def test_hashes_of_words():
     starts, ends, first = _bytes.tokens(raw, off)
     h = _bytes.span_hash(_bytes.prefix_sums(raw), starts, ends).tolist()
     assert first.tolist() == [0, 2, 2, 2, 5] and h[0] == h[3] == h[4] and h[1] == h[2] != h[0]
+
+
+def thue_morse(n, swap):
+    return "".join("ab"[bin(i).count("1") % 2 ^ swap] for i in range(n))
+
+
+def test_long_regular_words_are_told_apart(spark):
+    x, y = (thue_morse(1024, s) for s in (0, 1))
+    *_, words_, first = ctw.stream(pa.array([x, y, f"{x} {y} {x}"]))
+    a, b, c, d, e = words_.tolist()
+    assert first.tolist() == [0, 1, 2, 5] and a == c == e and b == d != a
+    head = " ".join(f"w{k}" for k in range(49))
+    rows = spark.createDataFrame([(1, f"{head} {x}"), (2, f"{head} {y}"), (3, f"{head} {x}")], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in recompress.digests(rows).collect()}
+    assert got == {1: 0, 2: 0, 3: 50}
+
+
+def test_stages_take_columns_of_any_name(spark):
+    names = ["toxic", "_ID", "_held", "_sha", "_least", "_rows", "_kept", "_set", "_set_", "_toxic_score", "_p", "_c"]
+    same = "a passage of words that stands in two documents here"
+    data = [(1, same), (2, same), (3, "You scumbag"), (4, None), (4, "other text under one id"), (None, "the benchmark item itself"), (None, "plain"), (5, "")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names)
+    df = spark.createDataFrame([(i, t, "en", "s", 1, *[7] * len(names)) for i, t in data], schema).repartition(2)
+    labels = spark.createDataFrame([(1, 0), (3, 1), (4, 0), (4, 0)], "doc_id long, toxic int")
+    items = spark.createDataFrame([(1, "the benchmark item itself")], "item_id long, text string")
+    everything = sorted(map(str, data))
+    held = lambda got: sorted(str((r["doc_id"], r["text"])) for r in got.select("doc_id", "text").collect())
+    near, clean = nearcopies.keep_one(df), decontaminate.clean(df, items)
+    assert near.columns == clean.columns == df.columns
+    assert held(near) == [x for x in everything if x not in (str(data[1]), str(data[7]))]  # 5 as the empty row of 4
+    assert held(clean) == [x for x in everything if x != str(data[5])]
+    assert textcnn.clean(df, labels).columns == df.columns
+    assert held(mixing.mix(df)) and set(held(mixing.mix(df))) == set(everything)
+    assert len(textcnn.toxicity(df, labels).collect()) == len(data)
+    assert len(recompress.digests(df).collect()) == len(simhash.near_duplicates(df).collect()) == len(multihash.edited(df).collect()) == len(data)
