@@ -2,8 +2,8 @@
 
 Texts are sequences of symbols, first their words. Each round names, in Spark, the runs of one symbol and the pairs of neighbouring
 symbols that texts hold: which neighbours pair follows from a digest of the two symbols alone (a left one before a right one), and
-distinct runs and pairs are numbered in one table and joined back, so equal substrings get equal symbols inside and names are
-exact, not digests. For each symbol the words on which its making depends are known (a text's edge lies outside). Only what stands
+each distinct run or pair is named, over all chunks, by the first place that has it, so equal substrings get equal symbols inside
+and names are exact, not digests. For each symbol the words on which its making depends are known (a text's edge lies outside). Only what stands
 in two documents gets a name: a window inside which anything without a name was made stands in one document alone, is dead, and
 symbols in no live window leave the rounds.
 
@@ -30,7 +30,8 @@ from itertools import compress, count
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._bytes import mix
@@ -39,7 +40,9 @@ from ._common import cut, discard, spread_join
 #: Rounds of pair naming, and those of them that name runs of one symbol too.
 ROUNDS, RUN_ROUNDS = 5, (0, 3)
 #: Bytes of text in a chunk; a longer document is a chunk of its own.
-CHUNK = 1 << 20
+CHUNK = 4 << 20
+#: Places of a chunk's list of words, runs or pairs, and chunks of a partition, that names have room for.
+PLACES, CHUNKS = 1 << 24, 1 << 16
 #: Bits of the filter of first documents; 32768 of them are one value of the built-in bitmap aggregate.
 FILTER_BITS = 1 << 26
 FAR = 1 << 30
@@ -47,6 +50,20 @@ PRODUCTION = ("left", "left_n", "right", "right_n")
 STATE = "chunk long, docs array<long>, first binary, ref binary, step binary, size binary, low binary, high binary, live binary, left array<long>, left_n array<int>, right array<long>, right_n array<int>, least array<long>, most array<long>"
 
 
+def press(x: np.ndarray) -> pa.Array:
+    """One binary cell of an array's compressed bytes."""
+    return pa.array([zstandard.ZstdCompressor(level=1).compress(x.tobytes())])
+
+
+def unpress(cell: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(cell), kind)
+
+
+def room(n: int, most: int = PLACES) -> None:
+    if n > most:
+        raise ValueError(f"{n} entries where names have room for {most}")
+
+
 def chunks(docs: DataFrame, window: int) -> DataFrame:
     """(chunk, docs, rows, first, codes, words, least, most): the words of texts of at least ``window`` words as codes of the
     chunk's distinct ``words``, each with the least and greatest doc_id that has it."""
@@ -59,12 +76,13 @@ def chunks(docs: DataFrame, window: int) -> DataFrame:
             ids = np.array([h[0] for h in held], np.int64)
             first = np.cumsum([0, *(len(h[2]) for h in held)])
             codes = np.fromiter((code[w] for h in held for w in h[2]), np.int32, int(first[-1]))
+            room(len(code))
             own = np.repeat(ids, np.diff(first))
             least, most = np.full(len(code), 1 << 62), np.full(len(code), -(1 << 62))
             np.minimum.at(least, codes, own)
             np.maximum.at(most, codes, own)
             columns = [
-                pa.array([ids.tolist()], pa.list_(pa.int64())), pa.array([[h[1] for h in held]], pa.list_(pa.int64())), pa.array([first.astype(np.int64).tobytes()]), pa.array([codes.tobytes()]),
+                pa.array([ids.tolist()], pa.list_(pa.int64())), pa.array([[h[1] for h in held]], pa.list_(pa.int64())), pa.array([first.astype(np.int64).tobytes()]), press(codes),
                 pa.array([list(code)], pa.list_(pa.binary())), pa.array([least], pa.list_(pa.int64())), pa.array([most], pa.list_(pa.int64())),
             ]
             return pa.RecordBatch.from_arrays(columns, ["docs", "rows", "first", "codes", "words", "least", "most"])
@@ -83,19 +101,20 @@ def chunks(docs: DataFrame, window: int) -> DataFrame:
             yield out()
 
     made = docs.select("doc_id", "row", "text").mapInArrow(run, "docs array<long>, rows array<long>, first binary, codes binary, words array<binary>, least array<long>, most array<long>")
-    return cut(made.withColumn("chunk", F.monotonically_increasing_id()))
+    number = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    return cut(made.withColumn("chunk", F.spark_partition_id().cast("long") * CHUNKS + F.when(number < CHUNKS, number).otherwise(F.raise_error(F.lit("too many chunks in a partition")))))
 
 
-def named(table: DataFrame, keys: list[str], round_: int) -> tuple[DataFrame, DataFrame]:
-    """(chunk, at, name), the names of the chunks' words, runs or pairs that stand in two documents with their places in its list, and
-    the written table of names behind it."""
+def named(table: DataFrame, keys: list[str], round_: int) -> DataFrame:
+    """(chunk, at, name): the names of the chunks' words, runs or pairs that stand in two documents, with their places in its list. A
+    name is the least place that has the word, run or pair, so it is exact and the same when a task is run again."""
     rows = table.select("chunk", F.posexplode(F.arrays_zip(*keys, "least", "most")).alias("at", "p"))
-    rows = rows.select("chunk", "at", *[F.col(f"p.{k}").alias(k) for k in keys], "p.least", "p.most")
-    both = rows.groupBy(*keys).agg(F.min("least").alias("least"), F.max("most").alias("most")).filter("least < most").select(*keys)
-    # the number is kept with the table; the last three bits are the round
-    names = cut(both.withColumn("name", F.monotonically_increasing_id() * 8 + round_ + 8))
-    got = rows.select("chunk", "at", *keys).join(names, keys).groupBy("chunk").agg(F.collect_list("at").alias("at"), F.collect_list("name").alias("name"))
-    return got, names
+    rows = rows.select((F.col("chunk") * PLACES + F.col("at")).alias("place"), *[F.col(f"p.{k}").alias(k) for k in keys], "p.least", "p.most")
+    w = Window.partitionBy(*keys)
+    both = rows.select("place", F.min("place").over(w).alias("first"), (F.min("least").over(w) < F.max("most").over(w)).alias("both")).filter("both")
+    # the last three bits are the round
+    both = both.select(F.shiftright("place", 24).alias("chunk"), F.col("place").bitwiseAND(PLACES - 1).cast("int").alias("at"), ((F.col("first") + 1) * 8 + round_).alias("name"))
+    return both.groupBy("chunk").agg(F.collect_list("at").alias("at"), F.collect_list("name").alias("name"))
 
 
 def lookup(at: list[int] | None, name: list[int] | None, size: int) -> np.ndarray:
@@ -183,13 +202,14 @@ def packed(chunk: int, docs: list[int], first: np.ndarray, symbols: Symbols, win
     symbols.sift(window)
     made, production, rows, text = symbols.paired(first, round_)
     keys, of, least, most = distinct(rows, np.array(docs, np.int64)[text])
+    room(len(keys))
     ref = made.name.copy()
     ref[production >= 0] = -1 - of[production[production >= 0]]
-    small = lambda x: pa.array([x.astype(np.int32).tobytes()])
+    small = lambda x: press(x.astype(np.int32))
     lists = [pa.array([x], pa.list_(kind)) for x, kind in zip((*keys.T, least, most), (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)]
     columns = [
-        pa.array([chunk]), pa.array([docs], pa.list_(pa.int64())), pa.array([first.tobytes()]), pa.array([ref.tobytes()]), small(np.diff(made.start, prepend=0)), small(made.stop - made.start),
-        small(np.maximum(made.low - made.start, -FAR)), small(np.minimum(made.high - made.start, FAR)), pa.array([np.packbits(made.live).tobytes()]), *lists,
+        pa.array([chunk]), pa.array([docs], pa.list_(pa.int64())), pa.array([first.tobytes()]), press(ref), small(np.diff(made.start, prepend=0)), small(made.stop - made.start),
+        small(np.maximum(made.low - made.start, -FAR)), small(np.minimum(made.high - made.start, FAR)), press(np.packbits(made.live)), *lists,
     ]
     return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in STATE.split(", ")])
 
@@ -197,13 +217,13 @@ def packed(chunk: int, docs: list[int], first: np.ndarray, symbols: Symbols, win
 def unpacked(row: dict) -> tuple[np.ndarray, Symbols]:
     """(first words of the documents, symbols) of a state row with the names of its productions."""
     first = np.frombuffer(row["first"], np.int64)
-    step, size, low, high = (np.frombuffer(row[c], np.int32).astype(np.int64) for c in ("step", "size", "low", "high"))
-    ref, start = np.frombuffer(row["ref"], np.int64).copy(), np.cumsum(step)
+    step, size, low, high = (unpress(row[c], np.int32).astype(np.int64) for c in ("step", "size", "low", "high"))
+    ref, start = unpress(row["ref"], np.int64).copy(), np.cumsum(step)
     got = lookup(row["at"], row["name"], len(row["left"]))
     new = ref < 0
     ref[new] = got[-1 - ref[new]]
     low, high = np.where(low <= -FAR, -FAR, start + low), np.where(high >= FAR, FAR, start + high)
-    live = np.unpackbits(np.frombuffer(row["live"], np.uint8), count=int(first[-1])).astype(bool)
+    live = np.unpackbits(unpress(row["live"], np.uint8), count=int(first[-1])).astype(bool)
     return first, Symbols(ref, start, start + size, low, high, live)
 
 
@@ -227,7 +247,7 @@ def recompressed(table: DataFrame, window: int, rounds: int) -> DataFrame:
     def begin(batches):
         for row in rows_of(batches, ["chunk", "docs", "first", "codes", "at", "name", "size"]):
             first, names = np.frombuffer(row["first"], np.int64), lookup(row["at"], row["name"], row["size"])
-            name = names[np.frombuffer(row["codes"], np.int32)]
+            name = names[unpress(row["codes"], np.int32)]
             at = np.arange(len(name))
             yield packed(row["chunk"], row["docs"], first, Symbols(name, at, at + 1, at, at, open_windows(first, window)), window, 0)
 
@@ -239,16 +259,13 @@ def recompressed(table: DataFrame, window: int, rounds: int) -> DataFrame:
 
         return run
 
-    got, old = named(table, ["words"], 0)
+    got = named(table, ["words"], 0)
     state = cut(table.select("chunk", "docs", "first", "codes", F.size("words").alias("size")).join(got, "chunk", "left").mapInArrow(begin, STATE))
     for r in range(1, rounds):
-        discard(old)
-        got, old = named(state, list(PRODUCTION), r)
+        got = named(state, list(PRODUCTION), r)
         state, last = cut(state.drop(*PRODUCTION[1:], "least", "most").join(got, "chunk", "left").mapInArrow(go_on(r), STATE)), state
         discard(last)
-    discard(old)
-    got, old = named(state, list(PRODUCTION), rounds)
-    return state.drop(*PRODUCTION[1:], "least", "most").join(got, "chunk", "left")
+    return state.drop(*PRODUCTION[1:], "least", "most").join(named(state, list(PRODUCTION), rounds), "chunk", "left")
 
 
 def least(value: np.ndarray, from_: np.ndarray, to: np.ndarray) -> np.ndarray:
@@ -294,7 +311,7 @@ def groups(table: DataFrame, window: int, rounds: int) -> DataFrame:
             if not symbols.live.any():
                 continue
             key, at, n, place, bare = anchored(symbols, window)
-            words, codes = row["words"], np.frombuffer(row["codes"], np.int32).tolist()
+            words, codes = row["words"], unpress(row["codes"], np.int32).tolist()
             text = lambda a, b: b" ".join([words[c] for c in codes[a:b]])  # noqa: B023, E731
             out = []
             for k, a, m, p in zip(key.tolist(), at.tolist(), n.tolist(), place.tolist(), strict=True):
