@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Script extensions of test files, and names and name endings of infrastructure files.
+TEST_EXTENSIONS = ("ts", "tsx", "mts", "cts", "js", "jsx", "mjs", "cjs")
+INFRA_NAMES = ("program.cs", "startup.cs")
+INFRA_ENDINGS = ("serviceextensions", "servicecollectionextensions", "registration", "testbase", "testsbase", "basetest", "basetests", "basefixture")
+
 ASCII_TRIM = " \t\r\n\u000b\u000c"
 
 
@@ -19,8 +24,10 @@ def matched(words: Column, text: Column) -> Column:
 
 
 def name_tokens(name: Column) -> Column:
-    """Distinct ASCII words of a camel-case or snake-case name, in lower case."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(name, F.lit(r"([A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[0-9]+)"), 1), lambda w: F.lower(w)))
+    """Distinct ASCII words of a name in lower case: cut at all but letters and digits and before a capital that follows a small letter
+    or digit, or that a small letter follows."""
+    apart = F.regexp_replace(name, r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", " ")
+    return F.array_distinct(F.transform(F.filter(F.split(apart, "[^A-Za-z0-9]+"), lambda w: w != ""), lambda w: F.lower(w)))
 
 
 def bounded_distance(a: Column, b: Column, bound: int = 2) -> Column:
@@ -51,19 +58,32 @@ def clipped(line: Column, width: int = 120) -> Column:
 
 
 def is_test_path(path: Column) -> Column:
-    """Names that test runners use, or a ``__tests__`` directory."""
-    return F.lower(path).rlike(r"(tests?|specs?)\.[a-z]+$|\.(test|spec)\.[a-z]+$") | F.array_contains(F.split(F.regexp_replace(path, r"[^/]*$", ""), "/"), "__tests__")
+    """A script file named as a test or spec, or below a directory ``__tests__``."""
+    script = "(" + "|".join(TEST_EXTENSIONS) + r")\z"
+    return path.rlike(r"\.(spec|test)\." + script) | (path.rlike(r"\." + script) & path.rlike("(^|/)__tests__/"))
 
 
 def is_infra_path(path: Column) -> Column:
-    base = F.lower(basename(path))
-    return base.isin("program.cs", "startup.cs") | base.rlike(r"compositionroot[a-z0-9]*\.cs$") | base.endswith(".g.cs")
+    """A file that others refer to for its job: entry points, registrations, bases of tests, composition roots."""
+    whole = F.lower(path)
+    base = basename(whole)
+    ends = whole.rlike("(" + "|".join(INFRA_ENDINGS) + r")\.cs\z")
+    return base.isin(*INFRA_NAMES) | ends | whole.rlike("(^|/)dependencyresolution/") | base.rlike(r"^((?!compositionroot).)*compositionroot[a-z0-9]*\.cs\z")
 
 
 def is_file_shaped(seed: Column) -> Column:
     return F.contains(seed, F.lit("/")) | seed.rlike(r"\.[A-Za-z0-9]+$")
 
 
+def purpose(source: Column) -> Column:
+    """The first line with ink of the first 15, without its comment mark if text follows it, clipped to 100 characters; null if none."""
+    lines = F.transform(F.slice(F.split(source, "\n"), 1, 15), lambda x: F.regexp_replace(x, r"(?U)^[\s\x{FEFF}]+|[\s\x{FEFF}]+$", ""))
+    line = F.get(F.filter(lines, lambda x: x != ""), 0)
+    said = F.regexp_replace(F.regexp_extract(line, r"(?s)^(///?|\*|#)(.*)$", 2), r"(?U)^\s+", "")
+    out = F.when(said != "", said).otherwise(line)
+    return F.when(F.length(out) > 100, F.concat(F.left(out, F.lit(97)), F.lit("..."))).otherwise(out)
+
+
 def whole_token(line: Column, needle: Column) -> Column:
     """The needle stands in the line between non-word bytes."""
     return F.regexp_like(line, F.concat(F.lit(r"(?<![A-Za-z0-9_])\Q"), needle, F.lit(r"\E(?![A-Za-z0-9_])")))

@@ -29,53 +29,47 @@ LANGUAGE = {"cs": "cs", "ts": "ts", "tsx": "ts", "js": "ts", "jsx": "ts", "mjs":
 
 
 def evaluate(condition: str, symbols: frozenset[str] = frozenset()) -> bool:
-    """A conditional-compilation expression: !, &&, ||, ==, !=, parentheses, true, false and symbols (undefined: false)."""
-    tokens = re.findall(r"&&|\|\||==|!=|!|\(|\)|\w+", condition)
-    at = 0
-
-    def peek() -> str:
-        return tokens[at] if at < len(tokens) else ""
-
-    def take() -> str:
-        nonlocal at
-        at += 1
-        return tokens[at - 1]
-
-    def unary() -> bool:
-        if peek() == "!":
-            take()
-            return not unary()
-        if peek() == "(":
-            take()
-            value = either()
-            if peek() == ")":
-                take()
-            return value
-        word = take() if peek() else "false"
-        return word == "true" or word in symbols
-
-    def equal() -> bool:
-        value = unary()
-        while peek() in ("==", "!="):
-            same = take() == "=="
-            value = (value == unary()) == same
-        return value
-
-    def both() -> bool:
-        value = equal()
-        while peek() == "&&":
-            take()
-            value = equal() and value
-        return value
-
-    def either() -> bool:
-        value = both()
-        while peek() == "||":
-            take()
-            value = both() or value
-        return value
-
-    return either()
+    """A conditional-compilation expression: !, &&, ||, ==, !=, parentheses, true, false and symbols (undefined: false). A malformed
+    one (empty, a character of no token, an open parenthesis, tokens left over) is false."""
+    tokens = re.findall(r"&&|\|\||==|!=|!|\(|\)|[^\W\d]\w*|[^ \t]", condition.strip(" \t\r"))
+    try:
+        value, rest = _either(tokens, symbols)
+    except ValueError:
+        return False
+    return value and not rest
+
+
+def _unary(tokens: list[str], symbols: frozenset[str]) -> tuple[bool, list[str]]:
+    match tokens:
+        case ["!", *rest]:
+            value, rest = _unary(rest, symbols)
+            return not value, rest
+        case ["(", *rest]:
+            value, rest = _either(rest, symbols)
+            if rest[:1] != [")"]:
+                raise ValueError("open parenthesis")
+            return value, rest[1:]
+        case [word, *rest] if re.fullmatch(r"[^\W\d]\w*", word):
+            return word == "true" or word != "false" and word in symbols, rest
+    raise ValueError("no operand")
+
+
+def _chain(lower, join: dict):
+    """The parser of operands that ``lower`` reads with any of the operators ``join`` between them, from the left."""
+
+    def parse(tokens, symbols):
+        value, rest = lower(tokens, symbols)
+        while rest and rest[0] in join:
+            other, after = lower(rest[1:], symbols)
+            value, rest = join[rest[0]](value, other), after
+        return value, rest
+
+    return parse
+
+
+_equal = _chain(_unary, {"==": lambda a, b: a == b, "!=": lambda a, b: a != b})
+_both = _chain(_equal, {"&&": lambda a, b: a and b})
+_either = _chain(_both, {"||": lambda a, b: a or b})
 
 
 def active(text: str, symbols: frozenset[str] = frozenset()) -> str:
@@ -146,24 +140,16 @@ def package_match(table: dict, specifier: str, conditions: tuple[str, ...]) -> l
     return [t.replace("*", best[2]) for t in package_target(table[best[1]], conditions)] if best else []
 
 
-def argument_count(signature: str) -> int:
-    """Arguments in the outermost parentheses of a signature: commas at depth one, whatever brackets stand inside."""
-    start = signature.find("(")
-    if start < 0:
-        return 0
-    depth, commas, ink = 0, 0, False
-    for c in signature[start:]:
-        if c in "([{<":
-            depth += 1
-        elif c in ")]}>":
-            depth -= 1
-            if not depth:
-                break
-        elif c == "," and depth == 1:
-            commas += 1
-        if depth and not c.isspace() and not (c == "(" and depth == 1):
-            ink = True
-    return commas + 1 if ink else 0
+def argument_count(signature: str) -> int | None:
+    """Arguments of a signature ``(...)->result``: commas outside all inner brackets and one more; None for text of another shape."""
+    m = re.match(r"\((.*?)\)->", signature, re.S)
+    if not m:
+        return None
+    depth, commas = 0, 0
+    for c in m[1]:
+        depth += (c in "<([") - (c in ">)]")
+        commas += c == "," and not depth
+    return commas + 1 if m[1].strip() else 0
 
 
 def template_reads(html: str) -> list[tuple[str, int]]:

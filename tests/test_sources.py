@@ -25,7 +25,8 @@ def test_package_maps():
 
 
 def test_counts_templates_and_manifests():
-    assert [scanners.argument_count(s) for s in ("f()", "f(a)", "f(Map<a, b>, (x, y) => z)", "f", "f( )")] == [0, 1, 2, 0, 0]
+    assert [scanners.argument_count(s) for s in ("()->void", "(a)->b", "(Map<a, b>, [x, y])->z", "f(a)", "( )->v")] == [0, 1, 2, None, 0]
+    assert not any(scanners.evaluate(c) for c in ("true X", "true @", "(true", "", "true =", "1")) and scanners.evaluate("(true) != false")
     html = "<p>{{ user.name }}</p>\n<b [hidden]=\"gone\" (click)=\"save('x', item)\">{{ 'lit' }}</b>"
     assert scanners.template_reads(html) == [("user", 1), ("gone", 2), ("save", 2), ("item", 2)]
     assert scanners.crate_roots('[package]\nname = "a"\n[[bin]]\nname = "b"\n') == [("lib", "src/lib.rs"), ("bin", "src/bin/b.rs")]
