@@ -125,16 +125,20 @@ def impact(edges: DataFrame, defs: DataFrame, seeds: DataFrame, most: int = 2, h
 
 
 def page_rank(arcs: DataFrame, nodes: DataFrame, seeds: DataFrame, steps: int = 20, damping: float = 0.85) -> DataFrame:
-    """(node, score): personalized ranking; what stands on nodes without arcs returns to the seeds. Arcs count with repeats."""
-    degree = settled(nodes.join(arcs.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("out")), "node", "left").join(seeds.withColumn("_s", F.lit(1)), "node", "left").select("node", F.coalesce("out", F.lit(0)).alias("out"), F.coalesce("_s", F.lit(0)).alias("seed")))
-    n = degree.agg(F.sum("seed")).first()[0]
-    weights = settled(arcs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m")))
-    rank = degree.withColumn("score", F.col("seed") / F.lit(float(n)))
+    """(node, score): personalized ranking over the set of arcs between ``nodes``; the start is even over the seeds, or over all
+    nodes without a seed among them, and what stands on nodes without arcs returns there."""
+    arcs = arcs.select("src", "dst").distinct().join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
+    arcs = settled(arcs.select("src", "dst"))
+    degree = arcs.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("out"))
+    marks = nodes.join(degree, "node", "left").join(seeds.select("node").distinct().withColumn("_s", F.lit(1)), "node", "left").select("node", F.coalesce("out", F.lit(0)).alias("out"), F.coalesce("_s", F.lit(0)).alias("_s"))
+    total = marks.agg(F.sum("_s").alias("_n"), F.count(F.lit(1)).alias("_all"))
+    start = F.when(F.col("_n") > 0, F.col("_s") / F.col("_n").cast("double")).otherwise(F.lit(1.0) / F.col("_all"))
+    rank = settled(marks.crossJoin(F.broadcast(total)).select("node", "out", start.alias("start"), start.alias("score")))
     for step in range(steps):
         loose = rank.filter("out = 0").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("loose"))
-        flow = rank.filter("out > 0").join(weights, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") * F.col("m") / F.col("out")).alias("flow"))
+        flow = rank.filter("out > 0").join(arcs, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") / F.col("out")).alias("flow"))
         rank = rank.drop("score").join(flow, "node", "left").crossJoin(F.broadcast(loose))
-        rank = rank.withColumn("score", (F.lit(1 - damping) + damping * F.col("loose")) * F.col("seed") / F.lit(float(n)) + damping * F.coalesce("flow", F.lit(0.0))).drop("flow", "loose")
+        rank = rank.withColumn("score", (F.lit(1 - damping) + damping * F.col("loose")) * F.col("start") + damping * F.coalesce("flow", F.lit(0.0))).drop("flow", "loose")
         if step % 5 == 4:
             rank = settled(rank)
     return rank.select("node", "score")

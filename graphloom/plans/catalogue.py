@@ -252,14 +252,6 @@ def imported_direct(d: Demo) -> DataFrame:
 # --- walks ---------------------------------------------------------------------------------------------------------
 
 
-@query(""", arcs AS (SELECT DISTINCT from_file AS src, to_file AS dst FROM edges WHERE quantity >= 50 AND tier IS NULL),
-walk(node, hop) AS (SELECT file, 0 FROM files WHERE file_id = 7 UNION SELECT dst, hop + 1 FROM walk JOIN arcs ON walk.node = arcs.src WHERE hop < 3)
-SELECT node, min(hop)::INT AS hop FROM walk GROUP BY node""", recursive=True)
-def khop_min(d: Demo) -> DataFrame:
-    arcs = settled(d.edges().filter("quantity >= 50 and tier is null").select(F.col("from_file").alias("src"), F.col("to_file").alias("dst")).distinct())
-    return graph.hops(arcs, d.files().filter("file_id = 7").select(F.col("file").alias("node")), 3)
-
-
 @query(""", arcs AS (SELECT a.n_nationkey AS src, b.n_nationkey AS dst FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND b.n_nationkey > a.n_nationkey),
 r(origin, node) AS (SELECT n_nationkey, n_nationkey FROM nation UNION SELECT origin, dst FROM r JOIN arcs ON node = src) SELECT origin, node FROM r""", recursive=True)
 def unit_reach(d: Demo) -> DataFrame:
@@ -269,45 +261,28 @@ def unit_reach(d: Demo) -> DataFrame:
 
 
 #: Two hops written out: the first hit's counts stay, seed files are no rows but are expanded, hubs are not.
-IMPACT_SQL = """, sparse AS (SELECT * FROM edges WHERE quantity >= 45), hubs AS (SELECT to_file AS file FROM sparse WHERE to_file <> from_file GROUP BY 1 HAVING count(DISTINCT from_file) >= 34),
-s0 AS (SELECT id, file FROM defs WHERE id = 7), f1 AS (SELECT from_file AS file, count(*) FILTER (tier IS NULL) AS via_count, count(*) FILTER (tier IS NOT NULL) AS heuristic_count, count(*) FILTER (tier = 'ext') AS ext_count, count(DISTINCT "to") AS symbols FROM sparse JOIN s0 ON "to" = s0.id GROUP BY 1),
+IMPACT_SQL = """, hubs AS (SELECT to_file AS file FROM edges WHERE to_file <> from_file GROUP BY 1 HAVING count(DISTINCT from_file) >= 34),
+s0 AS (SELECT id, file FROM defs WHERE id = 7), f1 AS (SELECT from_file AS file, count(*) FILTER (tier IS NULL) AS via_count, count(*) FILTER (tier IS NOT NULL) AS heuristic_count, count(*) FILTER (tier = 'ext') AS ext_count, count(DISTINCT "to") AS symbols FROM edges JOIN s0 ON "to" = s0.id GROUP BY 1),
 d1 AS (SELECT DISTINCT defs.id FROM defs JOIN f1 ON defs.file = f1.file WHERE via_count > 0 AND f1.file NOT IN (SELECT file FROM hubs) AND defs.id NOT IN (SELECT id FROM s0)),
-f2 AS (SELECT from_file AS file, count(*) FILTER (tier IS NULL) AS via_count, count(*) FILTER (tier IS NOT NULL) AS heuristic_count, count(*) FILTER (tier = 'ext') AS ext_count, count(DISTINCT "to") AS symbols FROM sparse JOIN d1 ON "to" = d1.id GROUP BY 1)
+f2 AS (SELECT from_file AS file, count(*) FILTER (tier IS NULL) AS via_count, count(*) FILTER (tier IS NOT NULL) AS heuristic_count, count(*) FILTER (tier = 'ext') AS ext_count, count(DISTINCT "to") AS symbols FROM edges JOIN d1 ON "to" = d1.id GROUP BY 1)
 SELECT *, 1 AS hop, file IN (SELECT file FROM hubs) AS hub FROM f1 WHERE file NOT IN (SELECT file FROM s0)
 UNION ALL SELECT *, 2, file IN (SELECT file FROM hubs) FROM f2 WHERE file NOT IN (SELECT file FROM s0) AND file NOT IN (SELECT file FROM f1)"""
 
 
-@query(IMPACT_SQL)
-def impact_walk_braked(d: Demo) -> DataFrame:
-    sparse = settled(d.edges().filter("quantity >= 45"))
-    return graph.impact(sparse, settled(d.defs()), d.defs().filter("id = 7").select("id"))
-
-
-@query(""", arcs AS (SELECT from_file AS src, to_file AS dst, count(*) AS m FROM edges WHERE tier IS NULL AND quantity >= 45 GROUP BY ALL),
-deg AS (SELECT file AS node, coalesce((SELECT sum(m) FROM arcs WHERE src = file), 0) AS outn, CASE WHEN file_id = 7 THEN 1.0 ELSE 0.0 END AS seed FROM files)
-, """ + ", ".join(f"r{k} AS (SELECT node, outn, seed, " + ("seed AS score FROM deg)" if k == 0 else f"(0.15 + 0.85 * (SELECT coalesce(sum(score), 0) FROM r{k - 1} WHERE outn = 0)) * seed + 0.85 * coalesce((SELECT sum(p.score * m / p.outn) FROM r{k - 1} p JOIN arcs ON p.node = src WHERE dst = r{k - 1}.node), 0) AS score FROM r{k - 1})") for k in range(6)) + """ SELECT node, round(score, 9) AS score FROM r5""")
-def page_rank_5(d: Demo) -> DataFrame:
-    arcs = settled(d.edges().filter("tier is null and quantity >= 45").select(F.col("from_file").alias("src"), F.col("to_file").alias("dst")))
-    nodes = d.files().select(F.col("file").alias("node"))
-    seeds = d.files().filter("file_id = 7").select(F.col("file").alias("node"))
-    return graph.page_rank(arcs, nodes, seeds, 5).select("node", F.round("score", 9).alias("score"))
-
-
-#: The three walks over all edges; those above take the sparse view of SURVEY 7.3.
 @query(""", arcs AS (SELECT DISTINCT from_file AS src, to_file AS dst FROM edges),
 walk(node, hop) AS (SELECT file, 0 FROM files WHERE file_id = 7 UNION SELECT dst, hop + 1 FROM walk JOIN arcs ON walk.node = arcs.src WHERE hop < 3)
 SELECT node, min(hop)::INT AS hop FROM walk GROUP BY node""", recursive=True)
-def khop_min_all(d: Demo) -> DataFrame:
+def khop_min(d: Demo) -> DataFrame:
     arcs = settled(d.edges().select(F.col("from_file").alias("src"), F.col("to_file").alias("dst")).distinct())
     return graph.hops(arcs, d.files().filter("file_id = 7").select(F.col("file").alias("node")), 3)
 
 
-@query(IMPACT_SQL.replace("SELECT * FROM edges WHERE quantity >= 45", "SELECT * FROM edges"))
-def impact_walk_all(d: Demo) -> DataFrame:
+@query(IMPACT_SQL)
+def impact_walk_braked(d: Demo) -> DataFrame:
     return graph.impact(settled(d.edges()), settled(d.defs()), d.defs().filter("id = 7").select("id"))
 
 
-@query(""", arcs AS MATERIALIZED (SELECT from_file AS src, to_file AS dst, count(*) AS m FROM edges WHERE tier IS NULL GROUP BY ALL),
+@query(""", arcs AS MATERIALIZED (SELECT DISTINCT from_file AS src, to_file AS dst, 1 AS m FROM edges WHERE tier IS NULL AND to_file IN (SELECT file FROM files)),
 deg AS MATERIALIZED (SELECT file AS node, coalesce((SELECT sum(m) FROM arcs WHERE src = file), 0) AS outn, CASE WHEN file_id = 7 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS seed FROM files),
 r0 AS MATERIALIZED (SELECT node, outn, seed, seed AS score FROM deg)""" + "".join(f""",
 f{k} AS MATERIALIZED (SELECT dst, sum(p.score * m / p.outn) AS flow FROM r{k - 1} p JOIN arcs ON p.node = src GROUP BY dst),
@@ -633,12 +608,12 @@ def template_reads(d: Demo) -> DataFrame:
     return d.table("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="/([^"]*)"'), 1)).alias("target"))
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS r FROM l WHERE trim(line) <> '')
-SELECT doc_id, arg_min(line, n) AS purpose FROM k WHERE r <= 15 AND length(trim(line)) >= 20 GROUP BY doc_id""", prelude=False)
+@query(r"""WITH l AS (SELECT doc_id, regexp_replace(x, '^[\s\x0B\x{FEFF}]+|[\s\x0B\x{FEFF}]+$', '', 'g') AS line, n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)),
+f AS (SELECT doc_id, arg_min(line, n) AS line FROM l WHERE n <= 15 AND line <> '' GROUP BY doc_id), c AS (SELECT doc_id, line, trim(regexp_extract(line, '^(///?|\*|#)(.*)$', 2)) AS said FROM f),
+p AS (SELECT doc_id, CASE WHEN said <> '' THEN said ELSE line END AS purpose FROM c)
+SELECT doc_id, CASE WHEN length(purpose) > 100 THEN substr(purpose, 1, 97) || '...' ELSE purpose END AS purpose FROM p""", prelude=False)
 def purpose_line(d: Demo) -> DataFrame:
-    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
-    first = F.filter(F.slice(lines, 1, 15), lambda x: F.length(F.trim(x)) >= 20)
-    return d.table("documents").select("doc_id", F.get(first, 0).alias("purpose")).filter("purpose is not null")
+    return d.table("documents").select("doc_id", text.purpose(F.col("text")).alias("purpose")).filter("purpose is not null")
 
 
 @query("""SELECT doc_id, len(string_split(text, chr(10))) AS lines, sha256(text) AS sha, substr(sha256(text), 1, 8) AS short_sha FROM documents""", prelude=False)

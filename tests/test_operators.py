@@ -11,7 +11,7 @@ def one(spark, column):
 
 
 def test_text_functions(spark):
-    assert one(spark, text.name_tokens(F.lit("XMLHttpRequest_foo2"))) == ["xml", "http", "request", "foo", "2"]
+    assert one(spark, text.name_tokens(F.lit("XMLHttpRequest_foo2"))) == ["xml", "http", "request", "foo2"]
     assert one(spark, text.project(F.lit("a/b.cs"))) == "a" and one(spark, text.project(F.lit("b.cs"))) == ""
     assert one(spark, text.joined_path(F.lit("a/b"), F.lit("../c/./d"))) == "a/c/d"
     assert one(spark, text.joined_path(F.lit("a"), F.lit("../../c"))) is None
@@ -22,6 +22,24 @@ def test_text_functions(spark):
     assert one(spark, text.half_up(F.lit(-2.5))) == -2 and one(spark, text.percent_tenths(F.lit(1), F.lit(3))) == 333
     assert one(spark, text.is_test_path(F.lit("src/__tests__/a.ts"))) and not one(spark, text.is_test_path(F.lit("src/latest/a.ts")))
 
+    tests = {"a.spec.ts": 1, "a/b.test.cjs": 1, "__tests__/x.js": 1, "src/latest.cs": 0, "a/Contest.py": 0, "src/foo_test.go": 0, "pkg/__tests__/data.json": 0}
+    infra = {"AuthServiceExtensions.cs": 1, "DependencyResolution/X.cs": 1, "a/SuiteBaseFixture.cs": 1, "a/CompositionRootTests.cs": 1, "a/Program.cs": 1, "Model.g.cs": 0, "a/compositionroot-x.cs": 0}
+    for paths, rule in ((tests, text.is_test_path), (infra, text.is_infra_path)):
+        got = spark.createDataFrame([(p,) for p in paths], "p string").select("p", rule(F.col("p")).cast("int").alias("y"))
+        assert dict(map(tuple, got.collect())) == paths
+    assert one(spark, text.name_tokens(F.lit("foo2Bar-ABc"))) == ["foo2", "bar", "a", "bc"]
+    assert one(spark, text.purpose(F.lit("\ufeff \n\n//  says it\nmore"))) == "says it" and one(spark, text.purpose(F.lit("\n" * 15 + "late"))) is None
+    assert one(spark, text.purpose(F.lit("#\nnext"))) == "#" and one(spark, text.purpose(F.lit("x" * 101))) == "x" * 97 + "..."
+
+
+def test_page_rank_takes_arcs_as_a_set_and_starts_evenly_without_seeds(spark):
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "node string")
+    arcs = spark.createDataFrame([("a", "b")] * 3 + [("a", "c"), ("a", "gone")], "src string, dst string")
+    got = dict(map(tuple, graph.page_rank(arcs, nodes, nodes.filter("node = 'a'"), 1).collect()))
+    assert got == pytest.approx({"a": 0.15, "b": 0.425, "c": 0.425})
+    even = dict(map(tuple, graph.page_rank(arcs, nodes, nodes.limit(0), 1).collect()))
+    assert sum(even.values()) == pytest.approx(1.0) and even["b"] == pytest.approx(even["c"])
+
 
 def test_ladder_first_step_answers(spark):
     a = spark.createDataFrame([("s", "x"), ("s", "y")], "seed string, candidate string")
