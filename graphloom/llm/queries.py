@@ -61,7 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_temperature_mixing": OP1_SQL}
+    return {"op1_temperature_mixing": OP1_SQL, "op6_reply_trees": OP6_SQL, "op7_recompression_dedup": OP7_SQL}
 
 
 #: The exponent by 60 halvings for the entropy, then, if the limit of repeats asks for it, 60 more; then running sums.
@@ -104,3 +104,35 @@ SELECT doc_id, source, n_tokens, epoch::INT AS epoch,
        floor(('0x' || substr(md5('1:' || epoch || ':' || coalesce(doc_id::VARCHAR, '')), 1, 4))::INT / pow(2.0, 16 - bits))::INT AS block
 FROM times
 """
+
+#: Turns in order; the length of the output is that of its parts, escapes included.
+OP6_SQL = r"""
+WITH messages AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT -1, turn, role, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS t(turn, role)),
+turns AS (
+  SELECT *, length('<|im_start|>') + length(regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\1\\|', 'g')) + 1
+         + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) + length('<|im_end|>') + 1 AS chars FROM messages),
+whole AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
+         coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss, sum(chars)::BIGINT AS formatted_chars
+  FROM turns GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM whole
+"""
+
+#: Every window's words as one string, the smallest document that has it, and the words its later places cover.
+OP7_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+words AS (SELECT r, doc_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM docs),
+windows AS (
+  SELECT r, doc_id, n, pos, string_agg(word, ' ') OVER (PARTITION BY r ORDER BY pos ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) AS seq FROM words),
+gone AS (SELECT r, pos, doc_id > min(doc_id) OVER (PARTITION BY seq) AS gone FROM windows WHERE pos <= n - 49),
+covered AS (
+  SELECT words.r, words.pos, word, coalesce(max(CASE WHEN gone THEN 1 ELSE 0 END) OVER (PARTITION BY words.r ORDER BY words.pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) AS lost
+  FROM words LEFT JOIN gone ON words.r = gone.r AND words.pos = gone.pos),
+kept AS (SELECT r, sum(lost)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (lost = 0) AS line FROM covered GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(line, '')) AS kept_sha256
+FROM docs LEFT JOIN kept ON docs.r = kept.r
+"""

@@ -526,14 +526,22 @@ def test_pipeline(spark, tmp_path):
     assert {r["doc_id"] for r in docs.collect()} == after
 
 
-def test_sql_of_mixing(spark):
+@pytest.mark.parametrize(
+    "name, table, columns",
+    [
+        ("op1_temperature_mixing", "documents", ["doc_id", "source", "n_tokens", "epoch", "block"]),
+        ("op6_reply_trees", "conversations", ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]),
+        ("op7_recompression_dedup", "documents", ["doc_id", "n_words", "n_removed", "kept_sha256"]),
+    ],
+)
+def test_sql(spark, name, table, columns):
     import duckdb
 
     base = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{base}/documents.parquet'")
-    want = sorted(con.execute(queries.oracle_sql()["op1_temperature_mixing"]).fetchall(), key=str)
-    got = queries.queries()["op1_temperature_mixing"](spark, base).select("doc_id", "source", "n_tokens", "epoch", "block")
+    con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{base}/{table}.parquet'")
+    want = sorted(con.execute(queries.oracle_sql()[name]).fetchall(), key=str)
+    got = queries.queries()[name](spark, base).select(*columns)
     assert sorted(map(tuple, got.collect()), key=str) == want
 
 
