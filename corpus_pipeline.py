@@ -37,7 +37,8 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("source_mixing", source_mixing), ("token_output", token_output)]
 
-#: A trained classifier has no SQL form; tests hold each stage against a brute-force version.
+#: A trained classifier has no SQL form. Tests hold the stages' operators apart: near copies against all pairs, benchmark hits against a
+#: full search, mixing against its SQL, token output against the tokenizer, toxicity by accuracy on held-out rows.
 ORACLE_SQL = None
 
 
