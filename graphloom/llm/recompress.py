@@ -25,7 +25,8 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
-from itertools import compress, count
+from functools import partial
+from itertools import chain, compress, count, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._bytes import mix
-from ._common import cut, discard, spread_join
+from ._common import cut as _cut
+from ._common import discard, spread_join
+
+#: Each step's shuffle files are deleted when its table is written: together they take several times the input.
+cut = partial(_cut, free=True)
 
 #: Rounds of pair naming, and those of them that name runs of one symbol too.
 ROUNDS, RUN_ROUNDS = 5, (0, 3)
@@ -43,11 +48,15 @@ ROUNDS, RUN_ROUNDS = 5, (0, 3)
 CHUNK = 4 << 20
 #: Places of a chunk's list of words, runs or pairs, and chunks of a partition, that names have room for.
 PLACES, CHUNKS = 1 << 24, 1 << 16
+#: Chunks in a row group of their tables: as many a reader holds.
+HELD = 4
+#: Rows and bytes of words in a batch of groups.
+BATCH_ROWS, BATCH = 2048, 4 << 20
 #: Bits of the filter of first documents; 32768 of them are one value of the built-in bitmap aggregate.
 FILTER_BITS = 1 << 26
 FAR = 1 << 30
 PRODUCTION = ("left", "left_n", "right", "right_n")
-STATE = "chunk long, docs array<long>, first binary, ref binary, step binary, size binary, low binary, high binary, live binary, left array<long>, left_n array<int>, right array<long>, right_n array<int>, least array<long>, most array<long>"
+STATE = "chunk long, docs array<long>, first binary, ref binary, step binary, size binary, low binary, high binary, live binary, made int, left array<long>, left_n array<int>, right array<long>, right_n array<int>, twice array<boolean>"
 
 
 def press(x: np.ndarray) -> pa.Array:
@@ -65,8 +74,8 @@ def room(n: int, most: int = PLACES) -> None:
 
 
 def chunks(docs: DataFrame, window: int) -> DataFrame:
-    """(chunk, docs, rows, first, codes, words, least, most): the words of texts of at least ``window`` words as codes of the
-    chunk's distinct ``words``, each with the least and greatest doc_id that has it."""
+    """(chunk, docs, rows, first, codes, words, twice): the words of texts of at least ``window`` words as codes of the chunk's
+    distinct ``words``, with which of them stand in two of its documents."""
 
     def run(batches):
         held, size = [], 0
@@ -75,7 +84,7 @@ def chunks(docs: DataFrame, window: int) -> DataFrame:
             code = defaultdict(count().__next__)
             ids = np.array([h[0] for h in held], np.int64)
             first = np.cumsum([0, *(len(h[2]) for h in held)])
-            codes = np.fromiter((code[w] for h in held for w in h[2]), np.int32, int(first[-1]))
+            codes = np.fromiter(map(code.__getitem__, chain.from_iterable(h[2] for h in held)), np.int32, int(first[-1]))
             room(len(code))
             own = np.repeat(ids, np.diff(first))
             least, most = np.full(len(code), 1 << 62), np.full(len(code), -(1 << 62))
@@ -83,9 +92,9 @@ def chunks(docs: DataFrame, window: int) -> DataFrame:
             np.maximum.at(most, codes, own)
             columns = [
                 pa.array([ids.tolist()], pa.list_(pa.int64())), pa.array([[h[1] for h in held]], pa.list_(pa.int64())), pa.array([first.astype(np.int64).tobytes()]), press(codes),
-                pa.array([list(code)], pa.list_(pa.binary())), pa.array([least], pa.list_(pa.int64())), pa.array([most], pa.list_(pa.int64())),
+                pa.array([list(code)], pa.list_(pa.binary())), pa.array([least < most], pa.list_(pa.bool_())),
             ]
-            return pa.RecordBatch.from_arrays(columns, ["docs", "rows", "first", "codes", "words", "least", "most"])
+            return pa.RecordBatch.from_arrays(columns, ["docs", "rows", "first", "codes", "words", "twice"])
 
         for batch in batches:
             for doc_id, row, text in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
@@ -100,27 +109,29 @@ def chunks(docs: DataFrame, window: int) -> DataFrame:
         if held:
             yield out()
 
-    made = docs.select("doc_id", "row", "text").mapInArrow(run, "docs array<long>, rows array<long>, first binary, codes binary, words array<binary>, least array<long>, most array<long>")
+    made = docs.select("doc_id", "row", "text").mapInArrow(run, "docs array<long>, rows array<long>, first binary, codes binary, words array<binary>, twice array<boolean>")
     number = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    return cut(made.withColumn("chunk", F.spark_partition_id().cast("long") * CHUNKS + F.when(number < CHUNKS, number).otherwise(F.raise_error(F.lit("too many chunks in a partition")))))
+    return cut(made.withColumn("chunk", F.spark_partition_id().cast("long") * CHUNKS + F.when(number < CHUNKS, number).otherwise(F.raise_error(F.lit("too many chunks in a partition")))), rows=HELD)
 
 
 def named(table: DataFrame, keys: list[str], round_: int) -> DataFrame:
     """(chunk, at, name): the names of the chunks' words, runs or pairs that stand in two documents, with their places in its list. A
     name is the least place that has the word, run or pair, so it is exact and the same when a task is run again."""
-    rows = table.select("chunk", F.posexplode(F.arrays_zip(*keys, "least", "most")).alias("at", "p"))
-    rows = rows.select((F.col("chunk") * PLACES + F.col("at")).alias("place"), *[F.col(f"p.{k}").alias(k) for k in keys], "p.least", "p.most")
+    rows = table.select("chunk", F.posexplode(F.arrays_zip(*keys, "twice")).alias("at", "p"))
+    # the last bit of a place is set if the chunk itself has it in two documents; other chunks have other documents
+    rows = rows.select(((F.col("chunk") * PLACES + F.col("at")) * 2 + F.col("p.twice").cast("int")).alias("place"), *[F.col(f"p.{k}").alias(k) for k in keys])
     w = Window.partitionBy(*keys)
-    both = rows.select("place", F.min("place").over(w).alias("first"), (F.min("least").over(w) < F.max("most").over(w)).alias("both")).filter("both")
-    # the last three bits are the round
-    both = both.select(F.shiftright("place", 24).alias("chunk"), F.col("place").bitwiseAND(PLACES - 1).cast("int").alias("at"), ((F.col("first") + 1) * 8 + round_).alias("name"))
+    both = (F.count(F.lit(1)).over(w) > 1) | (F.col("place").bitwiseAND(1) == 1)
+    both = rows.select("place", F.shiftright(F.min("place").over(w), 1).alias("first"), both.alias("both")).filter("both")
+    # the last three bits of a name are the round
+    both = both.select(F.shiftright("place", 25).alias("chunk"), F.shiftright("place", 1).bitwiseAND(PLACES - 1).cast("int").alias("at"), ((F.col("first") + 1) * 8 + round_).alias("name"))
     return both.groupBy("chunk").agg(F.collect_list("at").alias("at"), F.collect_list("name").alias("name"))
 
 
-def lookup(at: list[int] | None, name: list[int] | None, size: int) -> np.ndarray:
+def lookup(at: np.ndarray | None, name: np.ndarray | None, size: int) -> np.ndarray:
     out = np.zeros(size, np.int64)
-    if at:
-        out[np.array(at)] = name
+    if at is not None:
+        out[at] = name
     return out
 
 
@@ -184,32 +195,34 @@ class Symbols:
         return Symbols(name[keep], start[keep], stop[keep], new_low[keep], new_high[keep], self.live), production, rows[made], text[made] - 1
 
 
-def distinct(rows: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct rows, number of each row among them, least and greatest document of each)."""
+def distinct(rows: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct rows, number of each row among them, which of them stand in two documents), in order of a digest."""
     if not len(rows):
-        return rows, np.zeros(0, np.int64), doc, doc
-    order = np.lexsort(rows.T)
+        return rows, np.zeros(0, np.int64), np.zeros(0, bool)
+    # rows that differ under one digest may break up those of a third: then it is listed twice, which names take
+    odd = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+    order = np.argsort(mix((rows.view(np.uint64) * odd).sum(1, dtype=np.uint64)))
     own = rows[order]
     head = np.append(True, (own[1:] != own[:-1]).any(1))
     of = np.empty(len(rows), np.int64)
     of[order] = np.cumsum(head) - 1
     at = np.flatnonzero(head)
-    return own[at], of, np.minimum.reduceat(doc[order], at), np.maximum.reduceat(doc[order], at)
+    return own[at], of, np.minimum.reduceat(doc[order], at) < np.maximum.reduceat(doc[order], at)
 
 
-def packed(chunk: int, docs: list[int], first: np.ndarray, symbols: Symbols, window: int, round_: int) -> pa.RecordBatch:
+def packed(chunk: int, docs: np.ndarray, first: np.ndarray, symbols: Symbols, window: int, round_: int) -> pa.RecordBatch:
     """The state of a chunk after the symbols got their names: what the next round makes of them, and its distinct productions."""
     symbols.sift(window)
     made, production, rows, text = symbols.paired(first, round_)
-    keys, of, least, most = distinct(rows, np.array(docs, np.int64)[text])
+    keys, of, twice = distinct(rows, docs[text])
     room(len(keys))
     ref = made.name.copy()
     ref[production >= 0] = -1 - of[production[production >= 0]]
     small = lambda x: press(x.astype(np.int32))
-    lists = [pa.array([x], pa.list_(kind)) for x, kind in zip((*keys.T, least, most), (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)]
+    lists = [pa.array([x], pa.list_(kind)) for x, kind in zip((*keys.T, twice), (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_()), strict=True)]
     columns = [
         pa.array([chunk]), pa.array([docs], pa.list_(pa.int64())), pa.array([first.tobytes()]), press(ref), small(np.diff(made.start, prepend=0)), small(made.stop - made.start),
-        small(np.maximum(made.low - made.start, -FAR)), small(np.minimum(made.high - made.start, FAR)), press(np.packbits(made.live)), *lists,
+        small(np.maximum(made.low - made.start, -FAR)), small(np.minimum(made.high - made.start, FAR)), press(np.packbits(made.live)), pa.array([len(keys)], pa.int32()), *lists,
     ]
     return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in STATE.split(", ")])
 
@@ -219,7 +232,7 @@ def unpacked(row: dict) -> tuple[np.ndarray, Symbols]:
     first = np.frombuffer(row["first"], np.int64)
     step, size, low, high = (unpress(row[c], np.int32).astype(np.int64) for c in ("step", "size", "low", "high"))
     ref, start = unpress(row["ref"], np.int64).copy(), np.cumsum(step)
-    got = lookup(row["at"], row["name"], len(row["left"]))
+    got = lookup(row["at"], row["name"], row["made"])
     new = ref < 0
     ref[new] = got[-1 - ref[new]]
     low, high = np.where(low <= -FAR, -FAR, start + low), np.where(high >= FAR, FAR, start + high)
@@ -227,11 +240,27 @@ def unpacked(row: dict) -> tuple[np.ndarray, Symbols]:
     return first, Symbols(ref, start, start + size, low, high, live)
 
 
+def listed(column: pa.Array) -> list[bytes]:
+    """The values of a binary array, cut from one copy of its bytes."""
+    column = column.cast(pa.large_binary())
+    _, off, data = column.buffers()
+    off = np.frombuffer(off, np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = bytes(memoryview(data)[off[0] : off[-1]]) if data is not None else b""
+    return [raw[a:b] for a, b in pairwise((off - off[0]).tolist())]
+
+
+def plain(cell: pa.Scalar):
+    """A cell's value; lists of numbers are arrays."""
+    if not isinstance(cell, pa.ListScalar) or not cell.is_valid:
+        return cell.as_py()
+    return listed(cell.values) if pa.types.is_binary(cell.values.type) or pa.types.is_large_binary(cell.values.type) else cell.values.to_numpy(zero_copy_only=False)
+
+
 def rows_of(batches, columns: list[str]):
     """The rows of Arrow batches one by one as dictionaries, so one chunk at a time is in Python's hands."""
     for batch in batches:
         for k in range(batch.num_rows):
-            yield {c: batch.column(c)[k].as_py() for c in columns}
+            yield {c: plain(batch.column(c)[k]) for c in columns}
 
 
 def open_windows(first: np.ndarray, window: int) -> np.ndarray:
@@ -241,8 +270,8 @@ def open_windows(first: np.ndarray, window: int) -> np.ndarray:
     return live
 
 
-def recompressed(table: DataFrame, window: int, rounds: int) -> DataFrame:
-    """The chunks with the state after ``rounds`` rounds and the names (chunk, at, name) of its last productions."""
+def recompressed(table: DataFrame, window: int, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """The chunks' state after ``rounds`` rounds and the names (chunk, at, name) of its last productions."""
 
     def begin(batches):
         for row in rows_of(batches, ["chunk", "docs", "first", "codes", "at", "name", "size"]):
@@ -253,19 +282,19 @@ def recompressed(table: DataFrame, window: int, rounds: int) -> DataFrame:
 
     def go_on(round_):
         def run(batches):
-            for row in rows_of(batches, ["chunk", "docs", "first", "ref", "step", "size", "low", "high", "live", "left", "at", "name"]):
+            for row in rows_of(batches, ["chunk", "docs", "first", "ref", "step", "size", "low", "high", "live", "made", "at", "name"]):
                 first, symbols = unpacked(row)
                 yield packed(row["chunk"], row["docs"], first, symbols, window, round_)
 
         return run
 
     got = named(table, ["words"], 0)
-    state = cut(table.select("chunk", "docs", "first", "codes", F.size("words").alias("size")).join(got, "chunk", "left").mapInArrow(begin, STATE))
+    state = cut(table.select("chunk", "docs", "first", "codes", F.size("words").alias("size")).join(got, "chunk", "left").mapInArrow(begin, STATE), rows=HELD)
     for r in range(1, rounds):
         got = named(state, list(PRODUCTION), r)
-        state, last = cut(state.drop(*PRODUCTION[1:], "least", "most").join(got, "chunk", "left").mapInArrow(go_on(r), STATE)), state
+        state, last = cut(state.drop(*PRODUCTION, "twice").join(got, "chunk", "left").mapInArrow(go_on(r), STATE), rows=HELD), state
         discard(last)
-    return state.drop(*PRODUCTION[1:], "least", "most").join(named(state, list(PRODUCTION), rounds), "chunk", "left")
+    return state, named(state, list(PRODUCTION), rounds)
 
 
 def least(value: np.ndarray, from_: np.ndarray, to: np.ndarray) -> np.ndarray:
@@ -305,40 +334,56 @@ def groups(table: DataFrame, window: int, rounds: int) -> DataFrame:
     ``at`` in the document; windows without a symbol are groups of one, those of equal words in a document together."""
 
     def run(batches):
-        for row in rows_of(batches, ["docs", "rows", "words", "codes", "first", "ref", "step", "size", "low", "high", "live", "left", "at", "name"]):
+        for row in rows_of(batches, ["docs", "rows", "words", "codes", "first", "ref", "step", "size", "low", "high", "live", "made", "at", "name"]):
             first, symbols = unpacked(row)
             symbols.sift(window)
             if not symbols.live.any():
                 continue
-            key, at, n, place, bare = anchored(symbols, window)
-            words, codes = row["words"], unpress(row["codes"], np.int32).tolist()
-            text = lambda a, b: b" ".join([words[c] for c in codes[a:b]])  # noqa: B023, E731
-            out = []
-            for k, a, m, p in zip(key.tolist(), at.tolist(), n.tolist(), place.tolist(), strict=True):
-                d = int(np.searchsorted(first, a, "right")) - 1
-                out.append((k, p, m, text(a, a + m + window - 1), d, [a - int(first[d])]))
-            alike: dict[tuple, list[int]] = {}
-            for a in bare.tolist():
-                d = int(np.searchsorted(first, a, "right")) - 1
-                alike.setdefault((d, text(a, a + window)), []).append(a - int(first[d]))
-            out += [(xxhash.xxh64_intdigest(t) >> 1, 0, 1, t, d, places) for (d, t), places in alike.items()]
-            for s in range(0, len(out), 2048):
-                part = list(zip(*out[s : s + 2048], strict=True))
-                columns = [
-                    pa.array(part[0], pa.int64()), pa.array(part[1], pa.int32()), pa.array(part[2], pa.int32()), pa.array(part[3], pa.binary()).cast(pa.string()),
-                    pa.array([row["docs"][d] for d in part[4]], pa.int64()), pa.array([row["rows"][d] for d in part[4]], pa.int64()), pa.array(part[5], pa.list_(pa.int32())),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "place", "n", "words", "doc_id", "row", "at"])
-
-    state = recompressed(table, window, rounds).drop("docs", "first")
-    both = table.select("chunk", "docs", "rows", "first", "codes", "words").join(state, "chunk")
-    return cut(both.mapInArrow(run, "key long, place int, n int, words string, doc_id long, row long, at array<int>"))
+            out, size = [], 0
+            for group in found(row["words"], unpress(row["codes"], np.int32), first, symbols):
+                out.append(group)
+                size += len(group[3])
+                if len(out) == BATCH_ROWS or size >= BATCH:
+                    yield batch_of(row, out)
+                    out, size = [], 0
+            if out:
+                yield batch_of(row, out)
+
+    def found(words, codes, first, symbols):
+        key, at, n, place, bare = anchored(symbols, window)
+        text = lambda a, b: b" ".join([words[c] for c in codes[a:b].tolist()])
+        own = np.searchsorted(first, at, "right") - 1
+        for k, a, m, p, d in zip(key.tolist(), at.tolist(), n.tolist(), place.tolist(), own.tolist(), strict=True):
+            yield k, p, m, text(a, a + m + window - 1), d, [a - int(first[d])]
+        own = np.searchsorted(first, bare, "right") - 1
+        for d in np.unique(own).tolist():
+            alike: dict[bytes, list[int]] = {}
+            for a in bare[own == d].tolist():
+                alike.setdefault(text(a, a + window), []).append(a - int(first[d]))
+            for t, places in alike.items():
+                yield xxhash.xxh64_intdigest(t) >> 1, 0, 1, t, d, places
+
+    def batch_of(row, out):
+        part = list(zip(*out, strict=True))
+        columns = [
+            pa.array(part[0], pa.int64()), pa.array(part[1], pa.int32()), pa.array(part[2], pa.int32()), pa.array(part[3], pa.binary()).cast(pa.string()),
+            pa.array([row["docs"][d] for d in part[4]], pa.int64()), pa.array([row["rows"][d] for d in part[4]], pa.int64()), pa.array(part[5], pa.list_(pa.int32())),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["key", "place", "n", "words", "doc_id", "row", "at"])
+
+    state, last = recompressed(table, window, rounds)
+    both = table.select("chunk", "docs", "rows", "first", "codes", "words").join(state.drop(*PRODUCTION, "twice", "docs", "first").join(last, "chunk", "left"), "chunk")
+    out = cut(both.mapInArrow(run, "key long, place int, n int, words string, doc_id long, row long, at array<int>"))
+    discard(state)
+    return out
 
 
 def removed(docs: DataFrame, window: int, rounds: int) -> DataFrame:
     """(doc_id, row, at, n): n windows from each word ``at`` on that also start in a document with a smaller doc_id."""
     kind = ["key", "place", "n", "words"]
-    own = groups(chunks(docs, window), window, rounds)
+    table = chunks(docs, window)
+    own = groups(table, window, rounds)
+    discard(table)
     kinds = own.groupBy(*kind).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("rows_"))
     kinds = cut(kinds)
     keys = kinds.groupBy("key").agg(F.min("first").alias("low"), F.max("last").alias("high"), F.count(F.lit(1)).alias("kinds")).filter("low < high")
