@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import slices
+from ._bytes import slices, tidy
 from ._common import cut, unused
 
 FIELDS = "doc_id long, item_id long, distance int, start long, stop long"
@@ -123,7 +123,7 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = 0.1, group_chars: i
                     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["doc_id", "item_id", "distance", "start", "stop"])
 
-        found = docs.mapInArrow(run, FIELDS)
+        found = docs.mapInArrow(tidy(run), FIELDS)
         out = found if out is None else out.unionByName(found)
     return out
 

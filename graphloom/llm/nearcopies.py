@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._bytes import mix, slices
+from ._bytes import mix, slices, tidy
 from ._common import cut, parts_for, unused
 from .components import components
 from .simhash import linked, majority, shingle_hashes
@@ -89,7 +89,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "set_id", "fp", "minima", "bands"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
-    return rows.mapInArrow(run, "doc_id long, set_id long, fp long, minima binary, bands array<long>")
+    return rows.mapInArrow(tidy(run), "doc_id long, set_id long, fp long, minima binary, bands array<long>")
 
 
 def top_nodes(prints: DataFrame, node_rows: int) -> DataFrame:
@@ -125,7 +125,7 @@ def stored_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     if wanted.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id", "left_semi")
-    rows = rows.mapInArrow(run, "doc_id long, set_id long, shingles binary")
+    rows = rows.mapInArrow(tidy(run), "doc_id long, set_id long, shingles binary")
     return rows.join(wanted, ["doc_id", "set_id"], "left_semi").select("set_id", "shingles").dropDuplicates(["set_id"])
 
 
@@ -161,7 +161,7 @@ def links(nodes: DataFrame, codes: DataFrame, sets: DataFrame | None = None, lea
     if exact:
         parts = max(parts, parts_for(int(nodes.count() * (sets.agg(F.avg(F.octet_length("shingles"))).first()[0] or 0)), BYTES_A_PART))
         members = members.join(sets, "set_id")
-    return members.repartition(max(1, parts), "node").mapInArrow(run, "a long, b long")
+    return members.repartition(max(1, parts), "node").mapInArrow(tidy(run), "a long, b long")
 
 
 def grouped(docs: DataFrame, least: float, node_rows: int) -> DataFrame:
@@ -213,4 +213,4 @@ def with_set(name: str):
                 digest = shingle_sets([None if t is None else str(t) for t in part.column("text").to_pylist()])[1]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(digest)], [*part.schema.names, name])
 
-    return run
+    return tidy(run)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._bytes import LOWER_TABLE, slices
+from ._bytes import LOWER_TABLE, release, slices, tidy
 from ._common import by_id_ranges, cut
 
 MAGIC, BLOCK = 0x31423853, 1 << 16
@@ -231,10 +231,11 @@ def encode_documents(docs: DataFrame, tokenizer: str, end: int = 1, image_ids: i
                 if sum(len(h[3]) for h in held) >= image_ids:
                     yield image()
                     held, seq = [], seq + 1
+                    release()
         if held:
             yield image()
 
-    written = docs.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(run, "shard int, seq int, n_ids long, image binary")
+    written = docs.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(tidy(run), "shard int, seq int, n_ids long, image binary")
     return cut(written, "uncompressed")
 
 
@@ -255,7 +256,7 @@ def read_documents(images: DataFrame) -> DataFrame:
                     ["shard", "seq", "doc_id", "offset", "n_tokens", "ids_crc32"],
                 )
 
-    docs = images.select("shard", "seq", "image").mapInArrow(run, "shard int, seq int, doc_id long, offset long, n_tokens long, ids_crc32 long")
+    docs = images.select("shard", "seq", "image").mapInArrow(tidy(run), "shard int, seq int, doc_id long, offset long, n_tokens long, ids_crc32 long")
     sizes = images.select("shard", "seq", "n_ids")
     shards = sizes.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     shards = shards.withColumn("before", F.sum("n").over(Window.orderBy("shard")) - F.col("n")).drop("n")

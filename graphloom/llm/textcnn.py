@@ -19,8 +19,6 @@ an empty result; columns of any name are carried.
 
 from __future__ import annotations
 
-import ctypes
-import gc
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._bytes import LOWER, prefix_sums, slices, span_hash, strings, tokens
+from ._bytes import LOWER, prefix_sums, release, slices, span_hash, strings, tidy, tokens
 from ._common import cut, unused
 
 ROWS, DIM, FILTERS, WIDTHS = 1 << 16, 8, 8, (1, 2, 3)
@@ -200,16 +198,6 @@ def crc_rest(doc_id: Column, divisor: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(divisor))
 
 
-def release() -> None:
-    """Gives what training held back to the system, where the C library can; the driver's process goes on for long."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (OSError, AttributeError):
-        pass
-
-
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, threshold: float = 0.3, seed: int = 7) -> tuple[Model, DataFrame]:
     """The model of ``labels`` (doc_id, toxic) on the texts of ``docs``, and (doc_id, lang, score) of all rows. At most ``most_rows``
     rows of each label are used in fitting; the thresholds come from all others."""
@@ -256,7 +244,7 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
             for part in slices(batch):
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.score(part.column("text")), pa.float64())], [*part.schema.names, name])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
