@@ -6,16 +6,23 @@ chrome uses, as in ``related-work``), *open* (all else on a page without article
 sidebars, notices, adverts, forms, comments by element, role, or a class or id that says nothing else; on a page with an article
 all that stands outside it).
 
-The words of all blocks but the kept ones, in page order with a separator between blocks, are the page's token stream; equal
-streams of a host are one, weighted by the distinct pages that have it. Suffixes of all streams are sorted by host: first by their
-first ``run / 4`` words, as text, then by prefix doubling, so that ranks of suffixes i and i + n give the order by 2n words. Each
-round is a range sort in Spark of the distinct prefixes, numbered in that order; prefixes that stand in fewer than ``least``
-distinct pages end there, as no longer one can be frequent. What is left after two rounds are the runs of ``run`` words that
-repeat; blocks of fewer words are compared whole. Overlapping runs make up longer ones.
-
-Landmarks weigh what a repeat means: chrome goes in any case; open and weak blocks lose the words of runs that stand in ``share`` of
-the host's distinct pages, and in ``least`` at least; menu blocks lose those of runs in ``menu_share`` of them; kept blocks are whole,
-however often other pages repeat them. ``n_repeated`` counts the words that a page lost to repeats.
+The words of all blocks, kept ones and chrome too, in page order with a separator between blocks, are the page's token stream; equal
+pages of a host have one stream. Suffixes of all streams are sorted by host: first by their first ``run / 4`` words, as text, then by
+prefix doubling, so that ranks of suffixes i and i + n give the order by 2n words. Each round is a range sort in Spark of the distinct
+prefixes, numbered in that order; prefixes that stand in fewer than ``least`` distinct pages end there, as no longer one can be
+frequent. What is left after two rounds are the runs of ``run`` words that repeat; blocks of fewer words are compared whole.
+Overlapping runs make up longer matches: every run inside a longer match stands in all of its pages, so the words that frequent runs
+cover are those that frequent matches of ``run`` words or more cover, whatever their length.
+
+Most suffixes of prose stand in one page. Before any is shuffled, each task counts digests of the first words over the pages it holds:
+what stands in a share of the host's pages has to stand in that share of the host's rows in some group of them, or it cannot add up.
+Such digests set bits of a bitmap of fixed size, and only suffixes whose bit is set go on; a false bit lets more in, none is lost.
+
+Landmarks weigh what a repeat means, by the share of the host's distinct pages (``least`` of them at least) that a run has to stand in
+for its words to go: none in chrome, which goes if it stands in one page alone, ``share`` in open and weak blocks, ``menu_share`` in
+menu blocks. Kept blocks are whole, however often other pages repeat them, but their words count as repeats of others'; a
+run that holds words of one weighs on no block beside it.
+``n_repeated`` counts the words outside chrome that a page lost to repeats.
 
 Defined cases: null or empty html gives an empty text; a page cut off in a tag loses the tag only; unclosed elements end with
 the page; a null url is the host ''; a page's copies are one page in all counts; repeated rows are all returned; an empty table
@@ -34,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import slices
+from ._bytes import mix, slices
 from ._common import cut
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
@@ -51,6 +58,9 @@ CHROME_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search",
 DROPPED, OPEN, KEPT, WEAK, MENU = range(5)
 #: The word that stands between blocks; words of a text hold no white space.
 EDGE = "\n"
+#: Bits of the bitmap of first words that may repeat, words that a task counts at a time, and words whose digests it keeps.
+FILTER_BITS, GROUP_WORDS, KNOWN_WORDS = 1 << 26, 1 << 21, 200_000
+ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def class_weight(value: str) -> int:
@@ -164,25 +174,22 @@ def host_of(url: str | None) -> str:
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """(page_id, url, host, page, stream, texts, kinds): the blocks of every page, with digests of all of its text and of its token
-    stream (null if it has none)."""
+    """(page_id, url, host, stream, texts, kinds): the blocks of every page, with a digest of its token stream."""
 
     def step(batches):
         for batch in batches:
             for part in slices(batch, "html"):
                 found = [blocks(page) for page in part.column("html").to_pylist()]
-                rest = [EDGE.join(t for t, kind in own if kind != KEPT) for own in found]
                 columns = [
                     part.column("page_id"), part.column("url"), pa.array([host_of(u) for u in part.column("url").to_pylist()], pa.string()),
                     pa.array([xxhash.xxh3_128_digest(EDGE.join(t for t, _ in own)) for own in found], pa.binary()),
-                    pa.array([xxhash.xxh3_128_digest(t) if t else None for t in rest], pa.binary()),
                     pa.array([[t for t, _ in own] for own in found], pa.list_(pa.string())), pa.array([[k for _, k in own] for own in found], pa.list_(pa.int8())),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "host", "page", "stream", "texts", "kinds"])
+                yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "host", "stream", "texts", "kinds"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
     return pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(
-        step, f"page_id {kind}, url string, host string, page binary, stream binary, texts array<string>, kinds array<tinyint>"
+        step, f"page_id {kind}, url string, host string, stream binary, texts array<string>, kinds array<tinyint>"
     )
 
 
@@ -197,23 +204,85 @@ def token_stream(texts: list[str]) -> tuple[list[str], list[tuple[int, int]]]:
     return words, places
 
 
-def suffixes(streams: DataFrame, head: int, run: int) -> DataFrame:
+class Digests(dict):
+    """Digests of words, made when first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = digest = xxhash.xxh64_intdigest(word)
+        return digest
+
+
+def slots(host: str, texts: list[str], words: list[str], places: list[tuple[int, int]], head: int, run: int, known: Digests) -> tuple[np.ndarray, np.ndarray]:
+    """The places in the bitmap of every suffix's first ``head`` words, and of each whole block of fewer than ``run`` words."""
+    if len(known) > KNOWN_WORDS:
+        known.clear()
+    seed, n = np.uint64(xxhash.xxh64_intdigest(host)), max(0, len(words) - head + 1)
+    value, heads = np.array([known[w] for w in words], np.uint64), np.zeros(n, np.uint64)
+    for j in range(head):
+        heads = heads * ODD + value[j : j + n]
+    whole = np.array([xxhash.xxh64_intdigest(t, 1) for t, (_, k) in zip(texts, places, strict=True) if k < run], np.uint64)
+    return tuple(mix(x ^ seed) & np.uint64(FILTER_BITS - 1) for x in (heads, whole))
+
+
+def may_repeat(rows: DataFrame, sizes: DataFrame, head: int, run: int, share: float) -> np.ndarray:
+    """A bitmap of the first words that may stand in ``share`` of the distinct pages of their host; ``rows``: (host, texts), and
+    ``sizes``: (host, size, copies), its distinct pages and its rows."""
+
+    def step(batches):
+        known, held, hosts, n = Digests(), [], {}, 0
+
+        def counted():
+            # a host's pages with a word add up to share * size over all groups of its rows, so one group has its part of them or more
+            own = np.array([h[0] for h in held])
+            need = np.array([part for _, part in hosts.values()]) * np.bincount(own, minlength=len(hosts)) - 1e-6
+            keys = np.concatenate([h[1] for h in held]).astype(np.int64) | np.repeat(own, [len(h[1]) for h in held]) * FILTER_BITS
+            keys, count = np.unique(keys, return_counts=True)
+            keys = keys[count >= need[keys // FILTER_BITS]]
+            return pa.RecordBatch.from_arrays([pa.array(np.unique(keys % FILTER_BITS) + 1)], ["slot"])
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                host, texts, size, copies = (batch.column(c)[row].as_py() for c in ("host", "texts", "size", "copies"))
+                words, places = token_stream(texts)
+                number, _ = hosts.setdefault(host, (len(hosts), share * size / copies))
+                held.append((number, np.unique(np.concatenate(slots(host, texts, words, places, head, run, known)))))
+                n += len(words)
+                if n >= GROUP_WORDS:
+                    yield counted()
+                    held, hosts, n = [], {}, 0
+        if held:
+            yield counted()
+
+    found = rows.join(sizes, "host").select("host", "texts", "size", "copies").mapInArrow(step, "slot long")
+    bits = found.groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).toArrow()
+    out = np.zeros((FILTER_BITS // 32768, 4096), np.uint8)
+    for part, cell in zip(bits.column("part").to_pylist(), bits.column("bits").to_pylist(), strict=True):
+        out[part - 1, : len(cell)] = np.frombuffer(cell, np.uint8)
+    return out.ravel()
+
+
+def suffixes(streams: DataFrame, head: int, run: int, bits: np.ndarray | None = None) -> DataFrame:
     """(host, stream, pages, at, whole, head): the suffixes of every stream by their first ``head`` words, and its blocks of fewer
-    than ``run`` words, whole."""
+    than ``run`` words, whole; with ``bits`` only those that may repeat."""
+    shared = None if bits is None else streams.sparkSession.sparkContext.broadcast(bits)
 
     def step(batches):
+        known = Digests()
         for batch in batches:
             for row in range(batch.num_rows):
-                words, places = token_stream(batch.column("texts")[row].as_py())
-                heads = [" ".join(words[i : i + head]) for i in range(len(words) - head + 1)]
-                short = [(p - 1, n) for p, n in places if n < run]
-                n = len(heads) + len(short)
+                host, texts = batch.column("host")[row].as_py(), batch.column("texts")[row].as_py()
+                words, places = token_stream(texts)
+                at, short = range(len(words) - head + 1), [(p - 1, n) for p, n in places if n < run]
+                if shared is not None:
+                    first, whole = (np.flatnonzero(shared.value[x >> np.uint64(3)] >> (x & np.uint64(7)).astype(np.uint8) & 1).tolist() for x in slots(host, texts, words, places, head, run, known))
+                    at, short = first, [short[k] for k in whole]
+                n = len(at) + len(short)
                 if not n:
                     continue
                 columns = [
-                    pa.array([batch.column("host")[row].as_py()] * n, pa.string()), pa.array([batch.column("stream")[row].as_py()] * n, pa.binary()), pa.array([batch.column("pages")[row].as_py()] * n, pa.int64()),
-                    pa.array([*range(len(heads)), *(p for p, _ in short)], pa.int32()), pa.array([0] * len(heads) + [k + 2 for _, k in short], pa.int32()),
-                    pa.array(heads + [" ".join(words[p : p + k + 2]) for p, k in short], pa.string()),
+                    pa.array([host] * n, pa.string()), pa.array([batch.column("stream")[row].as_py()] * n, pa.binary()), pa.array([batch.column("pages")[row].as_py()] * n, pa.int64()),
+                    pa.array([*at, *(p for p, _ in short)], pa.int32()), pa.array([0] * len(at) + [k + 2 for _, k in short], pa.int32()),
+                    pa.array([" ".join(words[i : i + head]) for i in at] + [" ".join(words[p : p + k + 2]) for p, k in short], pa.string()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["host", "stream", "pages", "at", "whole", "head"])
 
@@ -229,11 +298,12 @@ def ranked(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
     return rows.join(order, keys)
 
 
-def repeats(streams: DataFrame, run: int, least: int) -> DataFrame:
+def repeats(streams: DataFrame, run: int, least: int, bits: np.ndarray | None = None) -> DataFrame:
     """(host, stream, at, n, found): runs of ``run`` words and short whole blocks (with the edges beside them) that stand in
-    ``least`` distinct pages of a host, at each of their places; ``streams``: (host, stream, pages, texts)."""
+    ``least`` distinct pages of a host, at each of their places; ``streams``: (host, stream, pages, texts), a stream may come twice.
+    With ``bits`` only those that may repeat by it are looked at."""
     head = run // 4
-    rows = cut(ranked(suffixes(streams, head, run), ["host", "whole", "head"], least).select("host", "stream", "pages", "at", "whole", "rank", "found"))
+    rows = cut(ranked(cut(suffixes(streams, head, run, bits).distinct(), free=True), ["host", "whole", "head"], least).select("host", "stream", "pages", "at", "whole", "rank", "found"))
     short = rows.filter("whole > 0").select("host", "stream", "at", F.col("whole").alias("n"), "found")
     rows, size = rows.filter("whole = 0").drop("whole"), head
     while size < run:
@@ -248,12 +318,10 @@ def repeats(streams: DataFrame, run: int, least: int) -> DataFrame:
 def extract(pages: DataFrame, run: int = 20, share: float = 0.1, menu_share: float = 0.5, least: int = 3) -> DataFrame:
     """(page_id, url, text, n_chars, n_repeated): the main text of every page, blocks joined by one line feed."""
     rows = cut(parsed(pages))
-    streamed = rows.filter("stream is not null")
-    texts = F.transform(F.filter(F.arrays_zip("texts", "kinds"), lambda b: b["kinds"] != KEPT), lambda b: b["texts"])
-    streams = streamed.withColumn("texts", texts).groupBy("host", "stream").agg(F.count_distinct("page").alias("pages"), F.first("texts").alias("texts"))
-    found = repeats(streams, run, least)
-    sizes = rows.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("size"))
-    found = found.join(sizes, "host").filter(F.col("found") >= F.col("size") * share)
+    sizes = cut(rows.groupBy("host", "stream").count().groupBy("host").agg(F.count(F.lit(1)).alias("size"), F.sum("count").alias("copies")))
+    bits = may_repeat(rows, sizes, run // 4, run, share)
+    found = repeats(rows.select("host", "stream", F.lit(1).cast("long").alias("pages"), "texts"), run, least, bits)
+    found = found.join(sizes.select("host", "size"), "host").filter(F.col("found") >= F.col("size") * share)
     spans = found.groupBy("host", "stream").agg(F.collect_list(F.struct("at", "n", (F.col("found") >= F.col("size") * menu_share).alias("menu"))).alias("spans"))
 
     def strip(batches):
@@ -277,20 +345,25 @@ def extract(pages: DataFrame, run: int = 20, share: float = 0.1, menu_share: flo
 
 def unique_runs(texts: list[str], kinds: list[int], spans: list[dict]) -> tuple[list[str], int]:
     """The blocks of the main text without the words that spans of the stream cover, and how many these are."""
-    words, places = token_stream([t for t, k in zip(texts, kinds, strict=True) if k != KEPT])
+    words, places = token_stream(texts)
     edges = np.zeros((2, len(words) + 1), np.int64)
+    kept = np.zeros(len(words) + 1, np.int64)
+    for kind, (at, n) in zip(kinds, places, strict=True):
+        if kind == KEPT:
+            kept[at + 1 : at + n + 1] = 1
+    kept = np.cumsum(kept)
     for s in spans:
+        if kept[s["at"] + s["n"]] > kept[s["at"]]:
+            continue  # it repeats prose, which says nothing of the blocks beside
         for level in range(1 + s["menu"]):
             edges[level, s["at"]] += 1
             edges[level, s["at"] + s["n"]] -= 1
     free = (np.cumsum(edges, 1) == 0).tolist()
-    out, lost, place = [], 0, iter(places)
-    for t, kind in zip(texts, kinds, strict=True):
+    out, lost = [], 0
+    for t, kind, (at, n) in zip(texts, kinds, places, strict=True):
         if kind == KEPT:
             out.append(t)
-            continue
-        at, n = next(place)
-        if kind != DROPPED:
+        elif kind != DROPPED:
             left = [words[i] for i in range(at, at + n) if free[kind == MENU][i]]
             lost += n - len(left)
             if left:

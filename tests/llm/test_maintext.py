@@ -60,6 +60,34 @@ def test_menu_inside_the_article_goes_only_if_it_repeats(spark):
     assert copies == {1: ("alpha\nbeta\ngamma\nx", 0)}  # copies of one page are one page
 
 
+def test_streams_hold_kept_blocks(spark):
+    line = "follow the news of this host"
+    pages = [page(i, f"<article><p>{line}</p><p>own {i}</p></article>") for i in range(1, 6)] + [page(0, f'<article><p>own 0</p><div class="social-history">{line}</div></article>')]
+    got = texts(spark, pages)
+    # what others keep is a repeat for a block that may be chrome, and stays whole where it is kept
+    assert got == {0: ("own 0", 6)} | {i: (f"{line}\nown {i}", 0) for i in range(1, 6)}
+
+
+def test_bitmap_loses_no_repeat(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [rng.choice("abcdefgh") for _ in range(300)]
+    rows = []
+    for i in range(120):
+        at = rng.randrange(250)
+        own = [" ".join(base[at : at + rng.randint(1, 50)]), " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 60)))]
+        rows += [(f"h{i % 3}" if i < 115 else "few", bytes([i]), 1, own)] * (1 if i % 4 else 3)
+    df = spark.createDataFrame(rows, "host string, stream binary, pages long, texts array<string>").repartition(5).cache()
+    sizes = df.groupBy("host", "stream").count().groupBy("host").agg({"*": "count", "count": "sum"}).toDF("host", "size", "copies")
+    size = {r["host"]: r["size"] for r in sizes.collect()}
+    monkeypatch.setattr(maintext, "GROUP_WORDS", 700)
+    for share in (0.05, 0.1, 0.3):
+        bits = maintext.may_repeat(df, sizes, 2, 8, share)
+        got = sorted((r["host"], bytes(r["stream"]), r["at"], r["n"], r["found"]) for r in maintext.repeats(df, 8, 3, bits).collect() if r["found"] >= share * size[r["host"]])
+        want = [p for p in brute_repeats({r[1]: r for r in rows}.values(), 8, 3) if p[4] >= share * size[p[0]]]
+        assert got == want and (got or share == 0.3)
+    assert 0 < bits.sum()
+
+
 def test_class_words_weigh(spark):
     article = '<article><div class="related-work">related work {0}</div><section class="social-history"><p>social history {0}</p></section><div class="share-buttons">share</div><div class="siteNav">home</div><div class="promo-history">buy now</div></article>'
     got = texts(spark, [page(i, article.format(f"n{i}")) for i in range(4)])
