@@ -217,7 +217,7 @@ def slots(host: str, texts: list[str], words: list[str], places: list[tuple[int,
     if len(known) > KNOWN_WORDS:
         known.clear()
     seed, n = np.uint64(xxhash.xxh64_intdigest(host)), max(0, len(words) - head + 1)
-    value, heads = np.array([known[w] for w in words], np.uint64), np.zeros(n, np.uint64)
+    value, heads = np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), np.zeros(n, np.uint64)
     for j in range(head):
         heads = heads * ODD + value[j : j + n]
     whole = np.array([xxhash.xxh64_intdigest(t, 1) for t, (_, k) in zip(texts, places, strict=True) if k < run], np.uint64)
@@ -241,8 +241,7 @@ def may_repeat(rows: DataFrame, sizes: DataFrame, head: int, run: int, share: fl
             return pa.RecordBatch.from_arrays([pa.array(np.unique(keys % FILTER_BITS) + 1)], ["slot"])
 
         for batch in batches:
-            for row in range(batch.num_rows):
-                host, texts, size, copies = (batch.column(c)[row].as_py() for c in ("host", "texts", "size", "copies"))
+            for host, texts, size, copies in zip(*(batch.column(c).to_pylist() for c in ("host", "texts", "size", "copies")), strict=True):
                 words, places = token_stream(texts)
                 number, _ = hosts.setdefault(host, (len(hosts), share * size / copies))
                 held.append((number, np.unique(np.concatenate(slots(host, texts, words, places, head, run, known)))))
