@@ -14,9 +14,11 @@ frequent. What is left after two rounds are the runs of ``run`` words that repea
 Overlapping runs make up longer matches: every run inside a longer match stands in all of its pages, so the words that frequent runs
 cover are those that frequent matches of ``run`` words or more cover, whatever their length.
 
-Most suffixes of prose stand in one page. Before any is shuffled, each task counts digests of the first words over the pages it holds:
-what stands in a share of the host's pages has to stand in that share of the host's rows in some group of them, or it cannot add up.
-Such digests set bits of a bitmap of fixed size, and only suffixes whose bit is set go on; a false bit lets more in, none is lost.
+Most runs of prose stand in one page. Before any suffix is shuffled, each task counts digests of all runs of ``run`` words and of all
+short blocks over the pages it holds: what stands in a share of the host's pages (``least`` of them at least) has to stand in that
+share of the host's rows in some group of them, or it cannot add up. Such digests set bits of a bitmap of fixed size, those whose bit
+is set are counted over all groups, and those that reach the share make a second bitmap. Only the suffixes that the doubling needs for
+a run whose bit is set there go on; a false bit lets more in, none is lost.
 
 Landmarks weigh what a repeat means, by the share of the host's distinct pages (``least`` of them at least) that a run has to stand in
 for its words to go: none in chrome, which goes if it stands in one page alone, ``share`` in open and weak blocks, ``menu_share`` in
@@ -41,8 +43,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import mix, slices
-from ._common import cut
+from ._bytes import SLICE, mix, prefix_sums, slices, span_hash, strings, tokens
+from ._common import cut, parts_for, plan_bytes
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
@@ -58,9 +60,11 @@ CHROME_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search",
 DROPPED, OPEN, KEPT, WEAK, MENU = range(5)
 #: The word that stands between blocks; words of a text hold no white space.
 EDGE = "\n"
-#: Bits of the bitmap of first words that may repeat, words that a task counts at a time, and words whose digests it keeps.
-FILTER_BITS, GROUP_WORDS, KNOWN_WORDS = 1 << 26, 1 << 21, 200_000
-ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of the bitmap of runs that may repeat, words that a task counts at a time, and bytes of the parsed table that a task reads.
+FILTER_BITS, GROUP_WORDS, PART_BYTES = 1 << 26, 1 << 22, 12 << 20
+#: Of a number that holds the digest of a run and, in its low bits, the page that has it.
+DIGEST_BITS, PAGE_BITS = 40, 23
+ODD = 0x9E3779B97F4A7C15
 
 
 def class_weight(value: str) -> int:
@@ -204,84 +208,167 @@ def token_stream(texts: list[str]) -> tuple[list[str], list[tuple[int, int]]]:
     return words, places
 
 
-class Digests(dict):
-    """Digests of words, made when first asked for."""
-
-    def __missing__(self, word: str) -> int:
-        self[word] = digest = xxhash.xxh64_intdigest(word)
-        return digest
-
-
-def slots(host: str, texts: list[str], words: list[str], places: list[tuple[int, int]], head: int, run: int, known: Digests) -> tuple[np.ndarray, np.ndarray]:
-    """The places in the bitmap of every suffix's first ``head`` words, and of each whole block of fewer than ``run`` words."""
-    if len(known) > KNOWN_WORDS:
-        known.clear()
-    seed, n = np.uint64(xxhash.xxh64_intdigest(host)), max(0, len(words) - head + 1)
-    value, heads = np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), np.zeros(n, np.uint64)
-    for j in range(head):
-        heads = heads * ODD + value[j : j + n]
-    whole = np.array([xxhash.xxh64_intdigest(t, 1) for t, (_, k) in zip(texts, places, strict=True) if k < run], np.uint64)
-    return tuple(mix(x ^ seed) & np.uint64(FILTER_BITS - 1) for x in (heads, whole))
+def page_slices(batch):
+    """Row ranges of a batch with about ``SLICE`` bytes of block texts each; one long page makes a range of its own."""
+    texts = batch.column("texts")
+    _, off = strings(texts.values)
+    off, n, at = off[texts.offsets.to_numpy()], batch.num_rows, 0
+    while at < n:
+        to = min(n, max(at + 1, int(np.searchsorted(off, off[at] + SLICE, "right")) - 1))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def run_digests(value: np.ndarray, run: int) -> np.ndarray:
+    """A digest of every ``run`` neighbours, by doubling."""
+    out, size = value, 1
+    for bit in f"{run:b}"[1:]:
+        out, size = out[: max(0, len(out) - size)] * np.uint64(pow(ODD, size, 1 << 64)) + out[size:], 2 * size
+        if bit == "1":
+            out, size = out[: max(0, len(out) - 1)] * np.uint64(ODD) + value[size:], size + 1
+    return out
+
+
+def digests(batch, run: int) -> tuple[np.ndarray, ...]:
+    """Of the pages of a batch (host, texts): (page, at, digest) of every run of ``run`` words and (page, block, at, words, digest) of
+    each block of fewer words; ``at`` is a place in the page's token stream, ``block`` counts within the page."""
+    texts, pages = batch.column("texts"), np.arange(batch.num_rows)
+    cells = texts.offsets.to_numpy().astype(np.int64)
+    raw, off = strings(texts.values.slice(cells[0], cells[-1] - cells[0]))
+    cells = cells - cells[0]
+    starts, ends, first = tokens(raw, off)
+    size, own = np.diff(first), np.repeat(pages, np.diff(cells))  # of each block: its words, its page
+    block = np.repeat(np.arange(len(own)), size)
+    begin = first[cells] + cells + np.arange(len(cells))  # of each page's stream: an edge first, and one after each block
+    value = np.full(begin[-1], ODD, np.uint64)
+    words = span_hash(prefix_sums(raw), starts, ends)
+    value[np.arange(len(words)) + block + own[block] + 1] = words
+    seed = np.array([xxhash.xxh64_intdigest(h) for h in batch.column("host").to_pylist()], np.uint64)
+    mask = np.uint64((1 << DIGEST_BITS) - 1)
+    room = np.maximum(0, np.diff(begin) - run + 1)
+    page = np.repeat(pages, room)
+    at = np.arange(len(page)) - np.repeat(np.cumsum(room) - room, room)
+    runs = mix(run_digests(value, run)[begin[page] + at] ^ seed[page]) & mask
+    # a block of few words, as the sum of its words mixed with their places
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words + (np.arange(len(words)) - first[block]).astype(np.uint64) * np.uint64(ODD)))])
+    short = np.flatnonzero(size < run)
+    whole = mix((sums[first[short + 1]] - sums[first[short]]) ^ mix(seed[own[short]] + np.uint64(1))) & mask
+    return page, at, runs, own[short], short - cells[own[short]], first[short] + short + own[short] - begin[own[short]], size[short], whole
+
+
+def set_bits(bits: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    """The indexes of the digests whose bit is set."""
+    slot = digest & np.uint64(FILTER_BITS - 1)
+    return np.flatnonzero(bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
+
+
+def bitmap(found: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size in which the column ``digest`` has set bits."""
+    slot = F.col("digest").bitwiseAND(F.lit(FILTER_BITS - 1)) + 1
+    bits = found.groupBy(F.bitmap_bucket_number(slot).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).toArrow()
+    out = np.zeros((FILTER_BITS // 32768, 4096), np.uint8)
+    for part, cell in zip(bits.column("part").to_pylist(), bits.column("bits").to_pylist(), strict=True):
+        out[part - 1, : len(cell)] = np.frombuffer(cell, np.uint8)
+    return out.ravel()
 
 
-def may_repeat(rows: DataFrame, sizes: DataFrame, head: int, run: int, share: float) -> np.ndarray:
-    """A bitmap of the first words that may stand in ``share`` of the distinct pages of their host; ``rows``: (host, texts), and
-    ``sizes``: (host, size, copies), its distinct pages and its rows."""
+def tallies(rows: DataFrame, sizes: DataFrame, run: int, share: float, least: int, bits: np.ndarray | None = None) -> DataFrame:
+    """(digest, found, need): in how many of its rows a group has a run or short block, and how many pages of the host it needs. Without
+    ``bits`` those that have the group's part of these, with ``bits`` all whose bit is set."""
+    shared = None if bits is None else rows.sparkSession.sparkContext.broadcast(bits)
 
     def step(batches):
-        known, held, hosts, n = Digests(), [], {}, 0
+        held, hosts, own, need, n = [], {}, [], [], 0
 
         def counted():
-            # a host's pages with a word add up to share * size over all groups of its rows, so one group has its part of them or more
-            own = np.array([h[0] for h in held])
-            need = np.array([part for _, part in hosts.values()]) * np.bincount(own, minlength=len(hosts)) - 1e-6
-            keys = np.concatenate([h[1] for h in held]).astype(np.int64) | np.repeat(own, [len(h[1]) for h in held]) * FILTER_BITS
-            keys, count = np.unique(keys, return_counts=True)
-            keys = keys[count >= need[keys // FILTER_BITS]]
-            return pa.RecordBatch.from_arrays([pa.array(np.unique(keys % FILTER_BITS) + 1)], ["slot"])
+            all_, copies = np.array(need, float).T
+            # a host's pages with a run add up to what it needs over all groups of its rows, so one group has its part of them or more
+            part = all_ if shared is not None else all_ / copies * np.bincount(own, minlength=len(need))
+            keys = np.sort(np.concatenate(held))
+            keys = keys[np.diff(keys, prepend=-1) != 0]
+            digest = keys >> PAGE_BITS
+            begin = np.flatnonzero(np.diff(digest, prepend=-1))
+            count = np.diff(begin, append=len(keys))
+            lowest = np.minimum.reduceat(part[own][keys & ((1 << PAGE_BITS) - 1)], begin) if len(keys) else np.zeros(0)
+            fits = slice(None) if shared is not None else count >= lowest - 1e-6
+            return pa.RecordBatch.from_arrays([pa.array(digest[begin][fits]), pa.array(count[fits]), pa.array(lowest[fits])], ["digest", "found", "need"])
 
         for batch in batches:
-            for host, texts, size, copies in zip(*(batch.column(c).to_pylist() for c in ("host", "texts", "size", "copies")), strict=True):
-                words, places = token_stream(texts)
-                number, _ = hosts.setdefault(host, (len(hosts), share * size / copies))
-                held.append((number, np.unique(np.concatenate(slots(host, texts, words, places, head, run, known)))))
-                n += len(words)
+            for piece in page_slices(batch):
+                page, _, runs, block, *_, whole = digests(piece, run)
+                page, digest = np.concatenate([page, block]), np.concatenate([runs, whole])
+                if shared is not None:
+                    some = set_bits(shared.value, digest)
+                    page, digest = page[some], digest[some]
+                held.append(digest.astype(np.int64) << PAGE_BITS | page + len(own))
+                for host, size, copies in zip(*(piece.column(c).to_pylist() for c in ("host", "size", "copies")), strict=True):
+                    if host not in hosts:
+                        hosts[host] = len(hosts)
+                        need.append((max(least, share * size), copies))
+                    own.append(hosts[host])
+                n += len(page) + piece.num_rows
                 if n >= GROUP_WORDS:
                     yield counted()
-                    held, hosts, n = [], {}, 0
+                    held, hosts, own, need, n = [], {}, [], [], 0
         if held:
             yield counted()
 
-    found = rows.join(sizes, "host").select("host", "texts", "size", "copies").mapInArrow(step, "slot long")
-    bits = found.groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).toArrow()
-    out = np.zeros((FILTER_BITS // 32768, 4096), np.uint8)
-    for part, cell in zip(bits.column("part").to_pylist(), bits.column("bits").to_pylist(), strict=True):
-        out[part - 1, : len(cell)] = np.frombuffer(cell, np.uint8)
-    return out.ravel()
+    return rows.join(sizes, "host").select("host", "texts", "size", "copies").mapInArrow(step, "digest long, found long, need double")
+
+
+def may_repeat(rows: DataFrame, sizes: DataFrame, head: int, run: int, share: float, least: int = 1) -> np.ndarray:
+    """A bitmap of the runs of ``run`` words and the shorter blocks that may stand in ``share`` of the distinct pages of their host, and
+    in ``least`` of them; ``rows``: (host, texts), and ``sizes``: (host, size, copies), its distinct pages and its rows. ``head`` does not
+    matter: whole runs are counted."""
+    bits = bitmap(tallies(rows, sizes, run, share, least))
+    found = tallies(rows, sizes, run, share, least, bits).groupBy("digest").agg(F.sum("found").alias("found"), F.min("need").alias("need"))
+    return bitmap(found.filter(F.col("found") >= F.col("need") - 1e-6))
+
+
+def doublings(head: int, run: int) -> list[int]:
+    """The steps from ``head`` words to ``run``: in each, ranks of suffixes i and i + step give the order by so many words more."""
+    steps, size = [], head
+    while size < run:
+        steps.append(min(size, run - size))
+        size += steps[-1]
+    return steps
 
 
 def suffixes(streams: DataFrame, head: int, run: int, bits: np.ndarray | None = None) -> DataFrame:
     """(host, stream, pages, at, whole, head): the suffixes of every stream by their first ``head`` words, and its blocks of fewer
-    than ``run`` words, whole; with ``bits`` only those that may repeat."""
+    than ``run`` words, whole; with ``bits`` only those of runs that may repeat."""
     shared = None if bits is None else streams.sparkSession.sparkContext.broadcast(bits)
+    # the suffixes whose first words make up those of a run
+    parts = np.zeros(1, np.int64)
+    for size in reversed(doublings(head, run)):
+        parts = np.union1d(parts, parts + size)
 
     def step(batches):
-        known = Digests()
         for batch in batches:
-            for row in range(batch.num_rows):
-                host, texts = batch.column("host")[row].as_py(), batch.column("texts")[row].as_py()
-                words, places = token_stream(texts)
-                at, short = range(len(words) - head + 1), [(p - 1, n) for p, n in places if n < run]
-                if shared is not None:
-                    first, whole = (np.flatnonzero(shared.value[x >> np.uint64(3)] >> (x & np.uint64(7)).astype(np.uint8) & 1).tolist() for x in slots(host, texts, words, places, head, run, known))
-                    at, short = first, [short[k] for k in whole]
-                n = len(at) + len(short)
-                if not n:
+            for piece in page_slices(batch):
+                page, at, runs, owner, block, place, size, whole = digests(piece, run)
+                texts = piece.column("texts")
+                if shared is None:
+                    room = [max(0, len(token_stream(t)[0]) - head + 1) for t in texts.to_pylist()]
+                    page, at = np.repeat(np.arange(len(room)), room), np.concatenate([np.arange(k) for k in room])
+                else:
+                    found, some = set_bits(shared.value, runs), set_bits(shared.value, whole)
+                    # at most 2**31 words of a page
+                    page, at = np.divmod(np.unique((page[found] << 32 | at[found])[:, None] + parts), 1 << 32)
+                    owner, block, place, size = owner[some], block[some], place[some], size[some]
+                if not len(page) + len(owner):
                     continue
+                heads, last = [], -1
+                for k, i in zip(page.tolist(), at.tolist(), strict=True):
+                    if k != last:
+                        (words, _), last = token_stream(texts[k].as_py()), k
+                    heads.append(" ".join(words[i : i + head]))
+                cells = texts.values.take(pa.array(texts.offsets.to_numpy()[owner] + block))
+                heads += [f"{EDGE} {t} {EDGE}" for t in cells.to_pylist()]
+                rows = pa.array(np.concatenate([page, owner]))
                 columns = [
-                    pa.array([host] * n, pa.string()), pa.array([batch.column("stream")[row].as_py()] * n, pa.binary()), pa.array([batch.column("pages")[row].as_py()] * n, pa.int64()),
-                    pa.array([*at, *(p for p, _ in short)], pa.int32()), pa.array([0] * len(at) + [k + 2 for _, k in short], pa.int32()),
-                    pa.array([" ".join(words[i : i + head]) for i in at] + [" ".join(words[p : p + k + 2]) for p, k in short], pa.string()),
+                    *(piece.column(c).take(rows) for c in ("host", "stream", "pages")), pa.array(np.concatenate([at, place]).astype(np.int32)),
+                    pa.array(np.concatenate([np.zeros(len(at), np.int64), size + 2]).astype(np.int32)), pa.array(heads, pa.string()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["host", "stream", "pages", "at", "whole", "head"])
 
@@ -293,7 +380,7 @@ def ranked(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
     in fewer than ``least`` are left out."""
     counts = rows.select("stream", "pages", *keys).distinct().groupBy(*keys).agg(F.sum("pages").alias("found")).filter(F.col("found") >= least)
     # ids that ascend over the partitions of a range sort ascend with the order
-    order = cut(counts.orderBy(*keys).withColumn("rank", F.monotonically_increasing_id()))
+    order = cut(counts.orderBy(*keys).withColumn("rank", F.monotonically_increasing_id()), free=True)
     return rows.join(order, keys)
 
 
@@ -302,23 +389,23 @@ def repeats(streams: DataFrame, run: int, least: int, bits: np.ndarray | None =
     ``least`` distinct pages of a host, at each of their places; ``streams``: (host, stream, pages, texts), a stream may come twice.
     With ``bits`` only those that may repeat by it are looked at."""
     head = run // 4
-    rows = cut(ranked(cut(suffixes(streams, head, run, bits).distinct(), free=True), ["host", "whole", "head"], least).select("host", "stream", "pages", "at", "whole", "rank", "found"))
+    rows = cut(ranked(cut(suffixes(streams, head, run, bits).distinct(), free=True), ["host", "whole", "head"], least).select("host", "stream", "pages", "at", "whole", "rank", "found"), free=True)
     short = rows.filter("whole > 0").select("host", "stream", "at", F.col("whole").alias("n"), "found")
-    rows, size = rows.filter("whole = 0").drop("whole"), head
-    while size < run:
-        step = min(size, run - size)
+    rows = rows.filter("whole = 0").drop("whole")
+    for step in doublings(head, run):
         after = rows.select("host", "stream", (F.col("at") - step).alias("at"), F.col("rank").alias("rank_after"))
         pairs = rows.withColumnRenamed("rank", "rank_here").drop("found").join(after, ["host", "stream", "at"])
-        rows = cut(ranked(pairs, ["host", "rank_here", "rank_after"], least).select("host", "stream", "pages", "at", "rank", "found"))
-        size += step
+        rows = cut(ranked(pairs, ["host", "rank_here", "rank_after"], least).select("host", "stream", "pages", "at", "rank", "found"), free=True)
     return rows.select("host", "stream", "at", F.lit(run).alias("n"), "found").unionByName(short)
 
 
 def extract(pages: DataFrame, run: int = 20, share: float = 0.1, menu_share: float = 0.5, least: int = 3) -> DataFrame:
     """(page_id, url, text, n_chars, n_repeated): the main text of every page, blocks joined by one line feed."""
     rows = cut(parsed(pages))
-    sizes = cut(rows.groupBy("host", "stream").count().groupBy("host").agg(F.count(F.lit(1)).alias("size"), F.sum("count").alias("copies")))
-    bits = may_repeat(rows, sizes, run // 4, run, share)
+    sizes = cut(rows.groupBy("host", "stream").count().groupBy("host").agg(F.count(F.lit(1)).alias("size"), F.sum("count").alias("copies")), free=True)
+    # the more pages of a host a task holds, the less its share of them lets in
+    few = rows.coalesce(parts_for(plan_bytes(rows), PART_BYTES))
+    bits = may_repeat(few, sizes, run // 4, run, share, least)
     found = repeats(rows.select("host", "stream", F.lit(1).cast("long").alias("pages"), "texts"), run, least, bits)
     found = found.join(sizes.select("host", "size"), "host").filter(F.col("found") >= F.col("size") * share)
     spans = found.groupBy("host", "stream").agg(F.collect_list(F.struct("at", "n", (F.col("found") >= F.col("size") * menu_share).alias("menu"))).alias("spans"))
@@ -344,6 +431,8 @@ def extract(pages: DataFrame, run: int = 20, share: float = 0.1, menu_share: flo
 
 def unique_runs(texts: list[str], kinds: list[int], spans: list[dict]) -> tuple[list[str], int]:
     """The blocks of the main text without the words that spans of the stream cover, and how many these are."""
+    if all(kind in (KEPT, DROPPED) for kind in kinds):
+        return [t for t, kind in zip(texts, kinds, strict=True) if kind == KEPT], 0
     words, places = token_stream(texts)
     edges = np.zeros((2, len(words) + 1), np.int64)
     kept = np.zeros(len(words) + 1, np.int64)

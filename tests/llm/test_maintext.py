@@ -88,6 +88,25 @@ def test_bitmap_loses_no_repeat(spark, monkeypatch):
     assert 0 < bits.sum()
 
 
+def test_only_suffixes_of_runs_that_repeat_are_sorted(spark):
+    rng = random.Random(4)
+    prose = lambda n: [rng.choice(["é", "ü", "word", "日本"]) + str(rng.randrange(10_000)) for _ in range(n)]
+    phrase, near, passage = prose(9), prose(40), prose(30)
+    rows = []
+    for i in range(100):
+        own = [*prose(rng.randint(20, 60)), *phrase, *prose(rng.randint(20, 60))]  # nine words that all pages have
+        more = near if 20 <= i < 24 else passage if i % 8 == 0 else []  # 40 words in four pages of one task, 30 words in 13 of 100
+        rows.append(("h", bytes([i]), 1, [" ".join(own), f"short {i % 50}", " ".join([*more, f"end{i}"])]))
+    rows.append(("h", bytes([100]), 1, []))
+    df = spark.createDataFrame(rows, "host string, stream binary, pages long, texts array<string>").repartitionByRange(5, "stream").cache()
+    sizes = spark.createDataFrame([("h", 101, 101)], "host string, size long, copies long")
+    bits = maintext.may_repeat(df, sizes, 5, 20, 0.1)
+    got = sorted((r["host"], bytes(r["stream"]), r["at"], r["n"], r["found"]) for r in maintext.repeats(df, 20, 3, bits).collect())
+    assert got == [p for p in brute_repeats(rows, 20, 3) if p[4] >= 10.1] and len(got) == 13 * 12  # the edge before is part of one
+    # of each passage, those at which one of its runs has a part of five words
+    assert maintext.suffixes(df, 5, 20, bits).count() == 13 * 27
+
+
 def test_class_words_weigh(spark):
     article = '<article><div class="related-work">related work {0}</div><section class="social-history"><p>social history {0}</p></section><div class="share-buttons">share</div><div class="siteNav">home</div><div class="promo-history">buy now</div></article>'
     got = texts(spark, [page(i, article.format(f"n{i}")) for i in range(4)])
