@@ -219,6 +219,16 @@ def page_slices(batch):
         at = to
 
 
+def word_digests(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Digests of words for buckets, over about ``SLICE`` bytes at a time, as a long page may have many more."""
+    out, at = np.zeros(len(starts), np.uint64), 0
+    while at < len(starts):
+        to, low = max(at + 1, int(np.searchsorted(starts, starts[at] + SLICE))), starts[at]
+        out[at:to] = span_hash(prefix_sums(raw[low : ends[to - 1]]), starts[at:to] - low, ends[at:to] - low)
+        at = to
+    return out
+
+
 def run_digests(value: np.ndarray, run: int) -> np.ndarray:
     """A digest of every ``run`` neighbours, by doubling."""
     out, size = value, 1
@@ -241,7 +251,7 @@ def digests(batch, run: int) -> tuple[np.ndarray, ...]:
     block = np.repeat(np.arange(len(own)), size)
     begin = first[cells] + cells + np.arange(len(cells))  # of each page's stream: an edge first, and one after each block
     value = np.full(begin[-1], ODD, np.uint64)
-    words = span_hash(prefix_sums(raw), starts, ends)
+    words = word_digests(raw, starts, ends)
     value[np.arange(len(words)) + block + own[block] + 1] = words
     seed = np.array([xxhash.xxh64_intdigest(h) for h in batch.column("host").to_pylist()], np.uint64)
     mask = np.uint64((1 << DIGEST_BITS) - 1)

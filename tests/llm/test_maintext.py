@@ -2,6 +2,8 @@
 
 import random
 
+import pyarrow as pa
+
 from graphloom.llm import maintext
 
 
@@ -107,6 +109,14 @@ def test_only_suffixes_of_runs_that_repeat_are_sorted(spark):
     assert maintext.suffixes(df, 5, 20, bits).count() == 13 * 27
 
 
+def test_digests_of_a_long_page_in_slices():
+    words = [f"w{i % 7919}" for i in range(200_000)]
+    one = pa.RecordBatch.from_arrays([pa.array(["h"]), pa.array([[" ".join(words)]], pa.list_(pa.string()))], ["host", "texts"])
+    page, at, runs, *_ = maintext.digests(one, 20)
+    assert one.column("texts").nbytes > 2 * maintext.SLICE and at.tolist() == list(range(len(words) + 2 - 19))
+    assert (runs[1 : 1 + 7919] == runs[1 + 20 * 7919 : 1 + 21 * 7919]).all() and len(set(runs[1 : 1 + 7919].tolist())) == 7919
+
+
 def test_class_words_weigh(spark):
     article = '<article><div class="related-work">related work {0}</div><section class="social-history"><p>social history {0}</p></section><div class="share-buttons">share</div><div class="siteNav">home</div><div class="promo-history">buy now</div></article>'
     got = texts(spark, [page(i, article.format(f"n{i}")) for i in range(4)])
