@@ -36,3 +36,22 @@ def test_pairs_are_not_aggregated(spark):
 
     plan = catalogue.QUERIES["iface_hop_dedup"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan.split("Join")[0]
+
+
+def test_null_seq_comes_last(spark):
+    implemented = spark.createDataFrame([("f1", "i1"), ("f1", "i2")], "file string, namespace string")
+    sites = spark.createDataFrame([("f2", 3, "i1", None), ("f2", 3, "i2", 7), ("f3", 1, "i1", None)], "from_file string, from_line int, namespace string, seq long")
+    assert sorted(map(tuple, graph.interface_hops(implemented, sites).collect())) == [("f1", "f2", 3, 7, 2), ("f1", "f3", 1, None, 1)]
+
+
+def test_hops_of_a_site_are_written_in_runs(spark, tmp_path):
+    # 1.2 million pairs took 3.4 MB in the order of a plain join of shuffled sides, 1.9 MB in this one
+    rng = random.Random(1)
+    files = sorted({(f"n{k % 25}/s{k}", f"i{rng.randrange(25)}") for k in range(2000) for _ in range(20)})
+    sites = [(f"n{k % 25}/s{5000 + k}", k % 7, f"i{i}", rng.randrange(10**15)) for k in range(600) for i in rng.sample(range(25), 20)]
+    rng.shuffle(files)
+    rng.shuffle(sites)
+    got = graph.interface_hops(spark.createDataFrame(files, "file string, namespace string"), spark.createDataFrame(sites, "from_file string, from_line int, namespace string, seq long"))
+    got.write.parquet(f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 1_200_000
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 2_600_000
